@@ -39,16 +39,23 @@ def _digit(x) -> F.Column:
 
 def template(x, before) -> F.Column:
     """The template word for a word and the word before it (null for none)."""
-    low = F.lower(x)
-    first = F.substring(x, 1, 1)
-    name = (first != F.substring(low, 1, 1)) & (F.length(x) > 1) & (F.substring(x, 2, 1) == F.substring(low, 2, 1)) & ~_digit(F.substring(x, 2, 1))
-    return F.when(_digit(x), "<num>").when(low.isin(*UNITS) & F.coalesce(_digit(before), F.lit(False)), "<unit>").when(name, "<name>").otherwise(F.ltrim(low, F.lit("^")))
+    low, code = F.lower(x), F.ascii(x)
+    unit = F.coalesce(_digit(before), F.lit(False)) & low.isin(*UNITS)
+    name = (F.substring(x, 1, 1) != F.substring(low, 1, 1)) & (F.length(x) > 1) & (F.substring(x, 2, 1) == F.substring(low, 2, 1)) & ~_digit(F.substring(x, 2, 1))
+    # the commonest cases come first: most words begin with a small letter
+    small = F.when(unit, "<unit>").otherwise(low)
+    return F.when(code.between(97, 122), small).when(code == 94, F.ltrim(low, F.lit("^"))).when(code.between(48, 57), "<num>").when(unit, "<unit>").when(name, "<name>").otherwise(low)
 
 
 def _templates(col: str) -> F.Column:
     return F.transform(col, lambda x, i: template(x, F.get(F.col(col), i - 1)))
 
 
+def _once(df: DataFrame, name: str, value: F.Column) -> DataFrame:
+    """Adds a column through a generator of one row, so that the optimiser can't repeat its expression where it is used."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def _windows(df: DataFrame, length: int) -> DataFrame:
     """df has words w and hashes h; adds at and the hash of each window of that length."""
     at = df.where(F.size("h") >= length).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("h") - length)))
@@ -58,11 +65,11 @@ def _windows(df: DataFrame, length: int) -> DataFrame:
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, first_word (in the document), n_matched, n_windows, coverage, n_slots, reparameterised of each leak."""
     b = items.select(items[item_col].cast("long").alias("item_id"), items[item_text].cast("string").alias("body")).distinct()
-    b = b.select("item_id", "body", words(F.col("body")).alias("w")).withColumn("t", _templates("w")).withColumn("h", F.transform("t", lambda x: F.xxhash64(x)))
+    b = _once(_once(_once(b, "w", words(F.col("body"))), "t", _templates("w")), "h", F.transform("t", lambda x: F.xxhash64(x)))
     b = b.where(F.size("h") > 0)
     lengths = sorted(r[0] for r in b.select(F.least(F.size("h"), F.lit(window))).distinct().collect())  # at most `window` values
-    d = docs.select(docs[id_col].cast("long").alias("doc_id"), words(docs[text_col].cast("string")).alias("w"))
-    d = d.withColumn("h", F.transform("w", lambda x, i: F.xxhash64(template(x, F.get(F.col("w"), i - 1)))))
+    d = docs.select(docs[id_col].cast("long").alias("doc_id"), F.explode(F.array(words(docs[text_col].cast("string")))).alias("w"))
+    d = _once(d, "h", F.transform("w", lambda x, i: F.xxhash64(template(x, F.get(F.col("w"), i - 1)))))
     met = None
     for n in lengths:
         own = _windows(b.where(F.least(F.size("h"), F.lit(window)) == n), n)
