@@ -23,13 +23,13 @@ from .common import BROADCAST_ROWS
 WINDOW, COVERAGE = 8, 0.5
 #: Words that are units when they follow a number.
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "lb", "oz", "ml", "l", "s", "sec", "min", "h", "hr", "hours", "hour", "minutes", "seconds", "days", "day", "weeks", "years", "year", "percent", "dollars", "cents", "euros", "usd", "eur", "meters", "metres", "miles", "feet", "inches", "degrees", "kw", "kwh", "w", "v", "hz", "gb", "mb", "kb")
-SENTENCE = r"""(^|[.!?]["')\]]*[ \t]+|[\r\n]+[ \t]*)(\p{Lu})"""
+SENTENCE = r"""([.!?\r\n]["')\]]*[ \t\r\n]*)(\p{Lu})"""
 BETWEEN = r"[^\p{L}\p{N}^]+"
 
 
 def words(text) -> F.Column:
     """The words of a text; a word that begins a sentence with a capital has a ^ before it."""
-    marked = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\^", " "), SENTENCE, "$1 ^$2")
+    marked = F.regexp_replace(F.concat(F.lit("\n"), F.coalesce(text, F.lit(""))), SENTENCE, "$1 ^$2")
     return F.array_remove(F.split(marked, BETWEEN), "")
 
 
@@ -107,7 +107,7 @@ _LIST = ", ".join(f"'{u}'" for u in UNITS)
 
 
 def _sql_words(col: str) -> str:
-    return rf"""list_filter(string_split_regex(regexp_replace(regexp_replace(coalesce({col}, ''), '\^', ' ', 'g'), '(^|[.!?]["'')\]]*[ \t]+|[\r\n]+[ \t]*)(\p{{Lu}})', '\1 ^\2', 'g'), '[^\p{{L}}\p{{N}}^]+'), lambda x: x <> '')"""
+    return rf"""list_filter(string_split_regex(regexp_replace(chr(10) || coalesce({col}, ''), '([.!?\r\n]["'')\]]*[ \t\r\n]*)(\p{{Lu}})', '\1 ^\2', 'g'), '[^\p{{L}}\p{{N}}^]+'), lambda x: x <> '')"""
 
 
 _SQL_TEMPLATE = f"""CASE WHEN regexp_matches(w[i], '^[0-9]') THEN '<num>'
