@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,10 +79,26 @@ def dedupe(detections: DataFrame) -> DataFrame:
     names = ["drawing_id", "page", "seq", "item_id", "x", "y", "w", "h", "confidence", "needs_review", "review_reason"]
     kind = "drawing_id long, page long, seq long, item_id string, x double, y double, w double, h double, confidence double, needs_review boolean, review_reason string"
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(merge_sightings(page.to_dict("records")), columns=names)
+    types = [pa.int64()] * 3 + [pa.string()] + [pa.float64()] * 5 + [pa.bool_(), pa.string()]
 
-    return detections.groupBy("drawing_id", "page").applyInPandas(run, kind)
+    def run(batches):
+        def rows():
+            for b in batches:
+                yield from b.to_pylist()
+
+        out: list[dict] = []
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in zip(names, types, strict=True)], names)
+
+        for _, page in groupby(rows(), key=lambda r: (r["drawing_id"], r["page"])):  # one page in memory at a time
+            out += merge_sightings(list(page))
+            if len(out) >= 10_000:
+                yield batch()
+                out = []
+        yield batch()
+
+    return detections.repartition("drawing_id", "page").sortWithinPartitions("drawing_id", "page").mapInArrow(run, kind)
 
 
 def second_look(detections: DataFrame, answers: DataFrame) -> DataFrame:
