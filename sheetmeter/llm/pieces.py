@@ -25,7 +25,7 @@ from .common import byte_view, slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words a task remembers, and pairs of pieces; both are dropped and learnt anew beyond that.
-MEMO_WORDS, MEMO_PAIRS = 500_000, 2_000_000
+MEMO_WORDS, MEMO_PAIRS = 300_000, 1_000_000
 
 
 def load(path: str = MODEL) -> list[tuple[str, float, int]]:
@@ -306,7 +306,7 @@ def encode_documents(df: DataFrame, path: str = MODEL, id_col: str = "doc_id", t
         codec = _codecs.setdefault(hash(tuple(shared.value[-3:])), None) or Codec(shared.value)
         _codecs[hash(tuple(shared.value[-3:]))] = codec
         for b in batches:
-            for part in slices(b, "text", 6 << 20):
+            for part in slices(b, "text", 3 << 20):
                 ids, edges = codec.encode(part.column(1))
                 data, at = codec.decode(ids, edges)
                 raw, offsets = byte_view(part.column(1))
