@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, byte_view, materialise, mix, semi_join, slices
 
-LENGTH, GRAM, START, MANY = 400, 64, 32, 4096
-#: Bytes of fragments that one collection holds.
-COLLECTION = 3_000_000
+LENGTH, GRAM, START, MANY = 400, 64, 32, 2048
+#: Bytes of fragments from which a collection is closed; with one anchor more it stays under 2^_BITS symbols.
+COLLECTION, _BITS = 500_000, 21
 _rng = np.random.Generator(np.random.PCG64(17))
 _LETTER = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _STEP = np.uint64(0x5851F42D4C957F2D)
@@ -102,12 +102,17 @@ def sorted_rotations(s: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]
     n = len(s)
     wrapped = np.concatenate([s, s[: 8]])if n >= 8 else np.resize(s, n + 8)
     key = np.zeros(n, np.uint64)
-    for j in range(4):  # symbols are below 2^16
-        key = (key << np.uint64(16)) | wrapped[j : j + n].astype(np.uint64)
+    for j in range(4):  # symbols are below 2^9
+        key = (key << np.uint64(9)) | wrapped[j : j + n].astype(np.uint64)
     h, start = 4, None
     while True:
-        order = np.argsort(key, kind="stable")
-        k = key[order]
+        if n <= 1 << _BITS:  # key and place in one number: sorting numbers is several times faster than sorting places
+            key = (key << np.uint64(_BITS)) | np.arange(n, dtype=np.uint64)
+            key.sort()
+            order, k = (key & np.uint64((1 << _BITS) - 1)).astype(np.int64), key >> np.uint64(_BITS)
+        else:
+            order = np.argsort(key)  # equal keys in any order: only their classes are used
+            k = key[order]
         rank_at = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
         rank = np.empty(n, np.int64)
         rank[order] = rank_at
@@ -115,7 +120,7 @@ def sorted_rotations(s: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]
             start = rank.copy()
         if h >= depth:
             return order, start[order]
-        key = (rank * (n + 1) + np.roll(rank, -h)).astype(np.uint64)
+        key = (rank * n + np.roll(rank, -h)).astype(np.uint64)  # below n squared
         h *= 2
 
 
@@ -146,11 +151,11 @@ def marked_borders(s: np.ndarray, order: np.ndarray, first: np.ndarray, length:
             where = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lm, size)
             to, c = lf[where], bwt[where].astype(np.int64)
             group = owner * 65536 + c
-            ordered = np.argsort(group, kind="stable")  # within a group the targets are consecutive
+            ordered = np.argsort(group)
             group, to = group[ordered], to[ordered]
             heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            tails = np.concatenate([heads[1:], [len(group)]]) - 1
-            l2, r2 = to[heads], to[tails] + 1
+            l2 = np.minimum.reduceat(to, heads)  # within a group the targets are consecutive
+            r2 = l2 + np.diff(np.append(heads, len(group)))
         else:
             l2 = r2 = np.zeros(0, np.int64)
         lb, rb = np.concatenate([l1, l2]), np.concatenate([l1 + 1, r2])
