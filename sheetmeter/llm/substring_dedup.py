@@ -268,7 +268,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # (a row read twice has the same document and position, so the least and the largest tell whether there are two)
     kinds = materialise(kinds.select("anchor", "fragment", "x.*", ((F.col("x.doc_id") != F.col("y.doc_id")) | (F.col("x.pos") != F.col("y.pos"))).alias("twice")))
     whole = rows.join(kinds.where("twice").select("anchor", "fragment"), ["anchor", "fragment"], "left_semi").select("doc_id", F.col("lo").alias("a"), F.col("hi").alias("b"))
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > MANY).alias("many"))
+    several = kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.bool_and("twice").alias("settled")).where("n > 1 and not settled").select("anchor", (F.col("n") > MANY).alias("many"))
     wanted = materialise(kinds.join(several, "anchor").select("doc_id", "anchor", "pos", "lo", "hi", "many"))
     fragments = materialise(_fragments(docs, wanted))
     spans = whole.unionByName(_by_transform(fragments.where("not many"), length))
