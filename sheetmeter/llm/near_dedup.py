@@ -135,9 +135,9 @@ def _keys(classes: DataFrame) -> DataFrame:
                         if j != p:
                             key = (key << np.uint64(16)) | sig[:, c, j]
                     out[:, c * CHUNK + p] = mix(key ^ salt[c * CHUNK + p])
-            yield pa.RecordBatch.from_arrays([pa.array(out.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), K)), pa.array(np.repeat(b.column(1).to_numpy(), K))], ["key", "rep", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(out.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), K)), pa.array(np.repeat(b.column(1).to_numpy(), K)), pa.array(np.tile(np.arange(K, dtype=np.int32), len(sig)))], ["key", "rep", "n", "slot"])
 
-    return classes.select("rep", "n", "sig").mapInArrow(run, "key long, rep long, n long")
+    return classes.select("rep", "n", "sig").mapInArrow(run, "key long, rep long, n long, slot int")
 
 
 def _within(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -189,12 +189,20 @@ def _sets(df: DataFrame, words: int) -> DataFrame:
 
 def _across(rows: DataFrame, similarity: int) -> DataFrame:
     """Pairs of rows of one run (key, salt) that are in different components, may reach the similarity by size, and whose
-    low signature bytes differ in at most T places. rows: key, salt, main, rep, n, label, low."""
+    signatures differ in at most T places; each pair only in the first key that it shares. rows: key, salt, slot, main, rep,
+    n, label, sig."""
+
+    def first_slot(same: np.ndarray) -> np.ndarray:
+        chunks = same.reshape(-1, CHUNKS, CHUNK)
+        alike = chunks.sum(2) >= CHUNK - 1
+        c = alike.argmax(1)
+        own = chunks[np.arange(len(c)), c]
+        return c * CHUNK + np.where(own.all(1), 0, own.argmin(1))
 
     def pairs(t: pa.Table):
         key = t["key"].to_numpy() * 1000003 + t["salt"].to_numpy()
-        salt, main, rep, n, label = (t[c].to_numpy(zero_copy_only=False) for c in ("salt", "main", "rep", "n", "label"))
-        low = np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(-1, K)
+        salt, slot, main, rep, n, label = (t[c].to_numpy(zero_copy_only=False) for c in ("salt", "slot", "main", "rep", "n", "label"))
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, K)
         i = np.arange(len(key))
         lag = 1
         while True:
@@ -205,8 +213,11 @@ def _across(rows: DataFrame, similarity: int) -> DataFrame:
             j = i + lag
             ok = (label[i] != label[j]) & ~(main[i] & main[j]) & (main[i] | main[j] | (salt[i] == 0)) & (100 * np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
             x, y = i[ok], j[ok]
-            near = (low[x] != low[y]).sum(1) <= T
-            x, y = x[near], y[near]
+            same = sig[x] == sig[y]
+            near = same.sum(1) >= K - T
+            x, y, same = x[near], y[near], same[near]
+            first = first_slot(same) == slot[x]
+            x, y = x[first], y[first]
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y]))], ["a", "b"])
             lag += 1
@@ -227,7 +238,7 @@ def _across(rows: DataFrame, similarity: int) -> DataFrame:
         if held is not None:
             yield from pairs(held.combine_chunks())
 
-    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "rep").select("key", "salt", "main", "rep", "n", "label", "low").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "rep").select("key", "salt", "slot", "main", "rep", "n", "label", "sig").mapInArrow(run, "a long, b long")
 
 
 def _wanted(docs: DataFrame, pairs: DataFrame, words: int, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -245,7 +256,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sigs = materialise(signatures(docs, words))
     classes = materialise(sigs.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
     w = Window.partitionBy("key").orderBy("n", "rep")
-    rows = _keys(classes).select("key", "rep", "n", F.lag("rep").over(w).alias("prev"), F.lag("n").over(w).alias("prev_n"), F.lead("rep").over(w).alias("next"))
+    rows = _keys(classes).select("key", "rep", "n", "slot", F.lag("rep").over(w).alias("prev"), F.lag("n").over(w).alias("prev_n"), F.lead("rep").over(w).alias("next"))
     rows = materialise(rows.where("prev is not null or next is not null").drop("next"))
     first = rows.where(f"prev is not null and 100 * prev_n >= {similarity} * n").select(F.least("rep", "prev").alias("a"), F.greatest("rep", "prev").alias("b")).distinct()
     first = materialise(_within(first, classes))
@@ -255,15 +266,14 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = materialise(_confirmed(first, sets, similarity, blocks))
     label = materialise(components(links))
     # what is still apart: all pairs of a key that are in different components
-    at = rows.select("key", "rep", "n").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label"))
+    at = rows.select("key", "rep", "n", "slot").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "slot", F.coalesce("component", "rep").alias("label"))
     by = at.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("many")).where("x != y").select("key", F.greatest(F.lit(1), F.ceil(F.col("many") / RUN)).cast("int").alias("salts"))
     at = at.join(by, "key")
     # the label most rows of a key have: its rows are dealt over the salts, all others go to each of them
     most = at.where("salts > 1").groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", "c").alias("top"))
     at = at.join(most, "key", "left").withColumn("main", F.coalesce(F.col("label") == F.col("top"), F.lit(False)))
     at = at.withColumn("salt", F.explode(F.when(F.col("main"), F.array(F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))))
-    lowest = classes.select("rep", F.unhex(F.regexp_replace(F.hex("sig"), "(..)..", "$1")).alias("low"))
-    pairs = materialise(_within(_across(at.join(lowest, "rep"), similarity).join(first, ["a", "b"], "left_anti"), classes))
+    pairs = materialise(_across(at.join(classes.select("rep", "sig"), "rep"), similarity).join(first, ["a", "b"], "left_anti"))
     if pairs.head(1):
         more, _ = _wanted(docs, pairs, words, known)
         found = materialise(_confirmed(pairs, sets.unionByName(more), similarity, blocks))
