@@ -124,45 +124,49 @@ def sorted_rotations(s: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]
         h *= 2
 
 
-def marked_borders(s: np.ndarray, order: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
-    """mark[i]: the common prefix of the sorted rotations i - 1 and i is shorter than length.
+def marked_borders(s: np.ndarray, order: np.ndarray, first: np.ndarray, length: int, ends: np.ndarray) -> np.ndarray:
+    """mark[i]: a border between different strings of `length` bytes lies before the sorted rotation i, or none of it fits there.
 
-    Breadth-first backward extension over the Burrows-Wheeler transform, from level START on.
+    Breadth-first backward extension over the Burrows-Wheeler transform, from level START on. ends[i] is where the fragment of
+    rotation i ends: only strings inside a fragment are extended, for no other string of `length` bytes is of use.
     """
     n = len(s)
     bwt = s[order - 1]
     by = np.argsort(bwt, kind="stable")
-    lf = np.empty(n, np.int64)
-    lf[by] = np.arange(n)
+    lf = np.empty(n, np.int32)
+    lf[by] = np.arange(n, dtype=np.int32)
     mark = np.zeros(n + 1, bool)
     mark[0] = mark[n] = True
     mark[1:n] = first[1:] != first[:-1]
-    edges = np.flatnonzero(mark)
+    edges = np.flatnonzero(mark).astype(np.int32)
     lb, rb = edges[:-1], edges[1:]
+    inside = (order + START <= ends)[lb]
+    lb, rb = lb[inside], rb[inside]
     for _ in range(START, length):
         if not len(lb):
             break
-        one = rb - lb == 1
-        l1 = lf[lb[one]]
-        lm, rm = lb[~one], rb[~one]
-        if len(lm):
-            size = rm - lm
+        # one symbol precedes the whole interval if it stands at both ends and the mapping keeps the width
+        l1, last = lf[lb], lf[rb - 1]
+        c = bwt[lb]
+        plain = (bwt[rb - 1] == c) & (last - l1 == rb - 1 - lb)
+        mixed = np.flatnonzero(~plain)
+        plain &= c != 0
+        l1, r1 = l1[plain], last[plain] + 1
+        if len(mixed):
+            lm, size = lb[mixed], (rb - lb)[mixed].astype(np.int64)
             owner = np.repeat(np.arange(len(lm)), size)
             where = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lm, size)
-            to, c = lf[where], bwt[where].astype(np.int64)
-            group = owner * 65536 + c
+            to, c = lf[where], bwt[where]
+            inner = c != 0
+            group, to = (owner * 512 + c)[inner], to[inner]
             ordered = np.argsort(group)
             group, to = group[ordered], to[ordered]
-            heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            l2 = np.minimum.reduceat(to, heads)  # within a group the targets are consecutive
-            r2 = l2 + np.diff(np.append(heads, len(group)))
-        else:
-            l2 = r2 = np.zeros(0, np.int64)
-        lb, rb = np.concatenate([l1, l2]), np.concatenate([l1 + 1, r2])
-        new = ~mark[rb]
-        lb, rb = lb[new], rb[new]
-        rb, at = np.unique(rb, return_index=True)
-        lb = lb[at]
+            heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+            if len(heads):  # within a group the targets are consecutive
+                l2 = np.minimum.reduceat(to, heads)
+                l1, r1 = np.concatenate([l1, l2]), np.concatenate([r1, l2 + np.diff(np.append(heads, len(group))).astype(np.int32)])
+        new = ~mark[r1]  # intervals of a level are disjoint, so no border comes twice
+        lb, rb = l1[new], r1[new]
         mark[rb] = True
     return mark
 
@@ -182,9 +186,10 @@ def repeats(fragments: list[bytes], docs: np.ndarray, los: np.ndarray, length: i
     while depth < length + 1:
         depth *= 2
     order, first = sorted_rotations(s, depth)
-    mark = marked_borders(s, order, first, length)
-    owner = np.searchsorted(begin, order, side="right") - 1
-    fits = order + length <= begin[owner] + size[owner]
+    owner = np.repeat(np.arange(len(size)), size + 1)[order]
+    ends = (begin + size)[owner]
+    mark = marked_borders(s, order, first, length, ends)
+    fits = order + length <= ends
     run = (np.cumsum(mark[:-1]) - 1)[fits]
     owner, at = owner[fits], order[fits]
     pos = los[owner] + at - begin[owner]
