@@ -7,6 +7,13 @@ documents. Windows that meet at the same distance between item and document are
 at least COVERAGE of the item's windows and its slots are consistent: within the windows that met, equal slots of a type in the
 item hold equal values in the document, and different ones different values, as in a copy with other parameters.
 
+That is the exact way, and the one that SQL states. A pair it does not find is looked for in a second way, for copies whose number of
+words has changed: a number with separators (1,250) and a run of name words (New York) are one placeholder each, and windows with more placeholders than other words meet nothing.
+Item windows that meet are then counted once over a band of neighbouring shifts, as wide as half the item and BAND words at
+least; bands overlap by half. Where a window meets at several shifts of a band, the shift with the most windows gives its slots.
+The same coverage is asked and the same consistency. n_matched,
+n_windows and n_slots then count merged words; first_word is a place in the document's words in both ways.
+
 Items with fewer words than a window are one window of their own length. Null or empty texts, and texts without words, match nothing.
 Texts are taken whole. Per document and item the alignment with the most windows is returned (ties: the one earliest in the
 document). Rows of equal id and text give one result; items of equal id are told apart by text. Only id and text are
@@ -15,7 +22,7 @@ read, so other columns cannot clash.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS
@@ -23,6 +30,9 @@ from .common import BROADCAST_ROWS
 WINDOW, COVERAGE = 8, 0.5
 #: Words that are units when they follow a number.
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "lb", "oz", "ml", "l", "s", "sec", "min", "h", "hr", "hours", "hour", "minutes", "seconds", "days", "day", "weeks", "years", "year", "percent", "dollars", "cents", "euros", "usd", "eur", "meters", "metres", "miles", "feet", "inches", "degrees", "kw", "kwh", "w", "v", "hz", "gb", "mb", "kb")
+#: Words that a band of shifts is wide at least.
+BAND = 16
+PLACES = ("<num>", "<unit>", "<name>")
 SENTENCE = r"""([.!?\r\n]["')\]]*[ \t\r\n]*)(\p{Lu})"""
 BETWEEN = r"[^\p{L}\p{N}^]+"
 
@@ -62,8 +72,8 @@ def _windows(df: DataFrame, length: int) -> DataFrame:
     return at.withColumn("key", F.xxhash64(F.lit(length), *[F.get("h", F.col("at") + j) for j in range(length)]))
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, item_id, first_word (in the document), n_matched, n_windows, coverage, n_slots, reparameterised of each leak."""
+def _exact(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+    """The leaks whose windows meet at one shift."""
     b = items.select(items[item_col].cast("long").alias("item_id"), items[item_text].cast("string").alias("body")).distinct()
     b = _once(_once(_once(b, "w", words(F.col("body"))), "t", _templates("w")), "h", F.transform("t", lambda x: F.xxhash64(x)))
     b = b.where(F.size("h") > 0)
@@ -80,22 +90,106 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         got = got.select("doc_id", "item_id", "body", "at", "item_at", "kinds", "values", F.slice("w", F.col("at") + 1, n).alias("found"))
         met = got if met is None else met.unionByName(got)
     if met is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, first_word long, n_matched long, n_windows long, coverage double, n_slots long, reparameterised boolean")
+        return docs.sparkSession.createDataFrame([], SCHEMA)
     # a slot: its type, value in the item, value in the document; a sentence mark is no part of a value
     bare = lambda x: F.ltrim(x, F.lit("^"))
     slots = F.filter(F.transform(F.arrays_zip("kinds", "values", "found"), lambda s: F.struct(s["kinds"].alias("k"), bare(s["values"]).alias("x"), bare(s["found"]).alias("y"))), lambda s: s["k"].isin("<num>", "<unit>", "<name>"))
     rows = met.select("doc_id", "item_id", "body", (F.col("at") - F.col("item_at")).cast("long").alias("shift"), "item_at", slots.alias("slots")).dropDuplicates(["doc_id", "item_id", "body", "shift", "item_at"])
     # an alignment has at most as many rows as its item has windows
     one = rows.groupBy("doc_id", "item_id", "body", "shift").agg(F.count("*").alias("n_matched"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
-    size = lambda f: F.size(F.array_distinct(F.transform("slots", f)))
-    fair = (size(lambda s: F.struct(s["k"], s["x"])) == F.size("slots")) & (size(lambda s: F.struct(s["k"], s["y"])) == F.size("slots"))
     whole = b.select("item_id", "body", F.greatest(F.lit(1), F.size("h") - window + 1).cast("long").alias("n_windows"))
     whole = F.broadcast(whole) if whole.limit(BROADCAST_ROWS // 10 + 1).count() <= BROADCAST_ROWS // 10 else whole
-    out = one.withColumn("fair", fair).join(whole, ["item_id", "body"]).where(F.col("fair") & (F.col("n_matched") >= coverage * F.col("n_windows")))
+    out = one.join(whole, ["item_id", "body"]).where(_fair() & (F.col("n_matched") >= coverage * F.col("n_windows")))
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", (-F.col("shift")).alias("back"), "n_windows", F.size("slots").cast("long").alias("n_slots"), F.exists("slots", lambda s: s["x"] != s["y"]).alias("other"))).alias("x"))
     return best.select("doc_id", "item_id", F.greatest(F.lit(0).cast("long"), -F.col("x.back")).alias("first_word"), "x.n_matched", "x.n_windows", (F.col("x.n_matched") / F.col("x.n_windows")).alias("coverage"), "x.n_slots", F.col("x.other").alias("reparameterised"))
 
 
+SCHEMA = "doc_id long, item_id long, first_word long, n_matched long, n_windows long, coverage double, n_slots long, reparameterised boolean"
+
+
+def _merged(df: DataFrame, text: str) -> DataFrame:
+    """Adds the words w, the places idx in them where a merged word begins, and of each merged word its template t, the hash h
+    of that, the hash raw of the word itself, and whether it is a placeholder (p)."""
+    joined = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?<=\p{N})[.,](?=[0-9])", " ^")  # the words stay as many
+    df = _once(df, "w", words(joined)).where(F.size("w") > 0)
+
+    def kind(x, i):
+        before = F.get(F.col("w"), i - 1)
+        rest = F.ltrim(x, F.lit("^"))
+        first = F.when(_digit(rest), "<more>").otherwise(F.lower(rest))
+        return F.when(F.ascii(x) == 94, first).otherwise(template(x, F.ltrim(before, F.lit("^"))))
+
+    df = _once(df, "all", F.transform("w", kind))
+    again = lambda i: (F.get("all", i) == "<more>") & (i > 0) | (F.get("all", i) == "<name>") & (F.coalesce(F.get("all", i - 1), F.lit("")) == "<name>") & (F.ascii(F.get("w", i)) != 94)
+    df = _once(df, "idx", F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: ~again(i)))
+    df = _once(df, "t", F.transform("idx", lambda i: F.get("all", i)))
+    df = _once(df, "p", F.transform("t", lambda x: x.isin(*PLACES).cast("int")))
+    df = _once(df, "h", F.transform("t", lambda x: F.xxhash64(x)))
+    return _once(df, "raw", F.transform("idx", lambda i, k: F.when(F.get("p", k) == 1, F.xxhash64(F.lower(_value(i, k)))).otherwise(F.get("h", k))))
+
+
+def _value(i, k) -> F.Column:
+    """The merged word k, which begins at word i."""
+    return F.array_join(F.slice("w", i + 1, F.coalesce(F.get("idx", k + 1), F.size("w")) - i), " ")
+
+
+def _merged_windows(df: DataFrame, length: int) -> DataFrame:
+    """Adds at and the key of each window: of its templates, or of its raw words if most are placeholders."""
+    at = df.where(F.size("h") >= length).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("h") - length)))
+    places = sum((F.get("p", F.col("at") + j) for j in range(length)), F.lit(0))
+    key = lambda salt, col: F.xxhash64(F.lit(salt), *[F.get(col, F.col("at") + j) for j in range(length)])
+    return at.where(places * 2 <= length).withColumn("key", key(length, "h"))
+
+
+def _values(length: int) -> F.Column:
+    """The merged words of the window at `at`."""
+    return F.transform(F.sequence(F.col("at"), F.col("at") + length - 1), lambda k: _value(F.get("idx", k), k))
+
+
+def _banded(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int, coverage: float) -> DataFrame:
+    """The leaks whose windows meet within a band of shifts."""
+    b = _merged(items.select(items[item_col].cast("long").alias("item_id"), items[item_text].cast("string").alias("body")).distinct(), "body")
+    lengths = sorted(r[0] for r in b.select(F.least(F.size("h"), F.lit(window))).distinct().collect())
+    d = _merged(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("body")), "body").drop("body", "all", "t")
+    met = None
+    for n in lengths:
+        own = _merged_windows(b.where(F.least(F.size("h"), F.lit(window)) == n), n)
+        own = own.select("key", "item_id", "body", F.col("at").alias("item_at"), F.get("idx", "at").alias("item_word"), F.slice("t", F.col("at") + 1, n).alias("kinds"), _values(n).alias("values"), F.greatest(F.lit(1), F.size("h") - window + 1).cast("long").alias("n_windows"), F.greatest(F.lit(BAND), F.size("h") / 2).cast("long").alias("wide"))
+        small = own.limit(BROADCAST_ROWS // 10 + 1).count() <= BROADCAST_ROWS // 10
+        got = _merged_windows(d, n).join(F.broadcast(own) if small else own, "key")
+        got = got.select("doc_id", "item_id", "body", "n_windows", "wide", "item_at", (F.col("at") - F.col("item_at")).cast("long").alias("shift"), (F.get("idx", "at") - F.col("item_word")).cast("long").alias("first"), "kinds", "values", _values(n).alias("found"))
+        met = got if met is None else met.unionByName(got)
+    if met is None:
+        return docs.sparkSession.createDataFrame([], SCHEMA)
+    zipped = F.transform(F.arrays_zip("kinds", "values", "found"), lambda s: F.struct(s["kinds"].alias("k"), s["values"].alias("x"), s["found"].alias("y")))
+    slots = F.filter(zipped, lambda s: s["k"].isin(*PLACES) & (F.ascii(s["x"]) != 94) & (F.ascii(s["y"]) != 94))
+    pair = ["doc_id", "item_id", "body", "n_windows"]
+    rows = met.select(*pair, "wide", "item_at", "shift", "first", slots.alias("slots")).dropDuplicates([*pair, "shift", "item_at"])
+    at = rows.withColumn("many", F.count("*").over(Window.partitionBy(*pair, "shift")))
+    half = F.floor(F.col("wide") / 2)
+    bands = at.withColumn("band", F.explode(F.array(F.floor(F.col("shift") / F.col("wide")) * 2, F.floor((F.col("shift") + half) / F.col("wide")) * 2 + 1)))
+    each = bands.groupBy(*pair, "band", "item_at").agg(F.max(F.struct("many", (-F.col("shift")).alias("back"), "first", "slots")).alias("x"))
+    one = each.groupBy(*pair, "band").agg(F.count("*").alias("n_matched"), F.min("x.first").alias("first"), F.array_distinct(F.flatten(F.collect_list("x.slots"))).alias("slots"))
+    out = one.where(_fair() & (F.col("n_matched") >= coverage * F.col("n_windows")))
+    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_matched", (-F.col("first")).alias("back"), "n_windows", F.size("slots").cast("long").alias("n_slots"), F.exists("slots", lambda s: s["x"] != s["y"]).alias("other"))).alias("x"))
+    return best.select("doc_id", "item_id", F.greatest(F.lit(0).cast("long"), -F.col("x.back")).alias("first_word"), "x.n_matched", "x.n_windows", (F.col("x.n_matched") / F.col("x.n_windows")).alias("coverage"), "x.n_slots", F.col("x.other").alias("reparameterised"))
+
+
+def _fair() -> F.Column:
+    """Whether equal slots of a type have equal values, and different ones different values."""
+    size = lambda f: F.size(F.array_distinct(F.transform("slots", f)))
+    return (size(lambda s: F.struct(s["k"], s["x"])) == F.size("slots")) & (size(lambda s: F.struct(s["k"], s["y"])) == F.size("slots"))
+
+
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+    """doc_id, item_id, first_word (in the document), n_matched, n_windows, coverage, n_slots, reparameterised of each leak."""
+    args = docs, items, id_col, text_col, item_col, item_text, window, coverage
+    names = SCHEMA.replace(",", "").split()[::2]
+    both = _exact(*args).select(*names, F.lit(1).alias("way")).unionByName(_banded(*args).select(*names, F.lit(0).alias("way")))
+    best = both.groupBy("doc_id", "item_id").agg(F.max(F.struct("way", *names[2:])).alias("x"))
+    return best.select("doc_id", "item_id", *[f"x.{c}" for c in names[2:]])
+
+
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs in which no item leaks; rows without an id stay."""
     bad = leaks(docs, items, id_col).select(F.col("doc_id").alias("__bad")).distinct()

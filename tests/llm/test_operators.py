@@ -256,3 +256,15 @@ def test_pipeline_keeps_the_right_documents(spark):
     want = {r["doc_id"]: secret_scan.redact(r["text"]) for r in rest.collect() if r["doc_id"] not in leak}
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL)
     assert {r["doc_id"]: r["ids"] for r in out.collect()} == {i: sp.encode(t) for i, t in want.items()}
+
+
+def leaking(spark, items, docs):
+    got = decontaminate.leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    return {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in got.collect()}
+
+
+def test_leaks_of_other_word_counts(spark):
+    w = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(40)]
+    sold = "the shop sold 48 red apples to a man from Paris who paid for all of them with one old silver coin and left"
+    docs = [" ".join([*w[:20], "extra", *w[20:]]), " ".join([*w[:13], "extra", *w[13:27], "more", *w[27:]]), " ".join(w[:20] + w[21:]), sold.replace("48", "1,200").replace("Paris", "New York"), " ".join(w[:18])]
+    assert leaking(spark, [" ".join(w), sold], docs) == {(0, 0): False, (1, 0): False, (2, 0): False, (3, 1): True}
