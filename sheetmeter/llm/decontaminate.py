@@ -8,7 +8,7 @@ at least COVERAGE of the item's windows and its slots are consistent: within the
 item hold equal values in the document, and different ones different values, as in a copy with other parameters.
 
 That is the exact way, and the one that SQL states. A pair it does not find is looked for in a second way, for copies whose number of
-words has changed: a number with separators (1,250) and a run of name words (New York) are one placeholder each, and windows with more placeholders than other words meet nothing.
+words has changed: a number with separators (1,250) and a run of name words (New York) are one placeholder each, and windows with more placeholders than other words meet by their raw words.
 Item windows that meet are then counted once over a band of neighbouring shifts, as wide as half the item and BAND words at
 least; bands overlap by half. Where a window meets at several shifts of a band, the shift with the most windows gives its slots.
 The same coverage is asked and the same consistency. n_matched,
@@ -138,7 +138,7 @@ def _merged_windows(df: DataFrame, length: int) -> DataFrame:
     at = df.where(F.size("h") >= length).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("h") - length)))
     places = sum((F.get("p", F.col("at") + j) for j in range(length)), F.lit(0))
     key = lambda salt, col: F.xxhash64(F.lit(salt), *[F.get(col, F.col("at") + j) for j in range(length)])
-    return at.where(places * 2 <= length).withColumn("key", key(length, "h"))
+    return at.withColumn("key", F.when(places * 2 <= length, key(length, "h")).otherwise(key(-length, "raw")))
 
 
 def _values(length: int) -> F.Column:

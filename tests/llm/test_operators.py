@@ -268,3 +268,8 @@ def test_leaks_of_other_word_counts(spark):
     sold = "the shop sold 48 red apples to a man from Paris who paid for all of them with one old silver coin and left"
     docs = [" ".join([*w[:20], "extra", *w[20:]]), " ".join([*w[:13], "extra", *w[13:27], "more", *w[27:]]), " ".join(w[:20] + w[21:]), sold.replace("48", "1,200").replace("Paris", "New York"), " ".join(w[:18])]
     assert leaking(spark, [" ".join(w), sold], docs) == {(0, 0): False, (1, 0): False, (2, 0): False, (3, 1): True}
+
+
+def test_leaks_of_items_that_are_mostly_placeholders(spark):
+    item = "Compute 12 + 7, 30 - 4, 9 * 8 and 56 / 7"
+    assert leaking(spark, [item], ["Now do this. " + item + " at once", item.replace("30", "31").replace("9", "2")]) == {(0, 0): False}
