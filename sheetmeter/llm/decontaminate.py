@@ -8,10 +8,11 @@ at least COVERAGE of the item's windows and its slots are consistent: within the
 item hold equal values in the document, and different ones different values, as in a copy with other parameters.
 
 That is the exact way, and the one that SQL states. A pair it does not find is looked for in a second way, for copies whose number of
-words has changed: a number with separators (1,250) and a run of name words (New York) are one placeholder each, and windows with more placeholders than other words meet by their raw words.
+words has changed: a number with separators (1,250) and a run of name words (New York) are one placeholder each, a capitalised
+word that begins a sentence is <name> too, and windows with more placeholders than other words meet by their raw words.
 Item windows that meet are then counted once over a band of neighbouring shifts, as wide as half the item and BAND words at
 least; bands overlap by half. Where a window meets at several shifts of a band, the shift with the most windows gives its slots.
-The same coverage is asked and the same consistency. n_matched,
+The same coverage is asked and the same consistency, except that words that begin a sentence are no slots there. n_matched,
 n_windows and n_slots then count merged words; first_word is a place in the document's words in both ways.
 
 Items with fewer words than a window are one window of their own length. Null or empty texts, and texts without words, match nothing.
@@ -116,7 +117,7 @@ def _merged(df: DataFrame, text: str) -> DataFrame:
     def kind(x, i):
         before = F.get(F.col("w"), i - 1)
         rest = F.ltrim(x, F.lit("^"))
-        first = F.when(_digit(rest), "<more>").otherwise(F.lower(rest))
+        first = F.when(_digit(rest), "<more>").otherwise(template(rest, F.lit(None).cast("string")))
         return F.when(F.ascii(x) == 94, first).otherwise(template(x, F.ltrim(before, F.lit("^"))))
 
     df = _once(df, "all", F.transform("w", kind))

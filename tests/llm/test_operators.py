@@ -273,3 +273,9 @@ def test_leaks_of_other_word_counts(spark):
 def test_leaks_of_items_that_are_mostly_placeholders(spark):
     item = "Compute 12 + 7, 30 - 4, 9 * 8 and 56 / 7"
     assert leaking(spark, [item], ["Now do this. " + item + " at once", item.replace("30", "31").replace("9", "2")]) == {(0, 0): False}
+
+
+def test_leaks_with_names_that_begin_sentences(spark):
+    item = "Alice has 5 apples. Bob has 3 apples. Alice gives 2 apples away. Bob eats 1 apple. How many are left?"
+    copy = item.replace("Alice", "Maria").replace("Bob", "John").replace("5", "9")
+    assert leaking(spark, [item], [copy, "Maria has no apples. John went home. How many people are there now?"]) == {(0, 0): True}
