@@ -279,3 +279,12 @@ def test_leaks_with_names_that_begin_sentences(spark):
     item = "Alice has 5 apples. Bob has 3 apples. Alice gives 2 apples away. Bob eats 1 apple. How many are left?"
     copy = item.replace("Alice", "Maria").replace("Bob", "John").replace("5", "9")
     assert leaking(spark, [item], [copy, "Maria has no apples. John went home. How many people are there now?"]) == {(0, 0): True}
+
+
+def test_near_duplicate_stage_keeps_rows_without_id_and_other_texts(spark):
+    import corpus_pipeline as p
+
+    w = [" ".join(f"{c}{chr(97 + i)}{chr(97 + i // 5)}" for i in range(20)) for c in "pqrst"]
+    rows = [(None, w[0]), (None, w[1]), (None, w[1]), (1, w[2]), (1, w[2]), (2, w[3]), (2, w[4]), (3, w[2])]
+    got = p.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r[0] or 0, r[1]) for r in got) == sorted([(0, w[0]), (0, w[1]), (0, w[1]), (1, w[2]), (2, w[3]), (2, w[4])])
