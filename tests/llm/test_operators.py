@@ -288,3 +288,13 @@ def test_near_duplicate_stage_keeps_rows_without_id_and_other_texts(spark):
     rows = [(None, w[0]), (None, w[1]), (None, w[1]), (1, w[2]), (1, w[2]), (2, w[3]), (2, w[4]), (3, w[2])]
     got = p.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted((r[0] or 0, r[1]) for r in got) == sorted([(0, w[0]), (0, w[1]), (0, w[1]), (1, w[2]), (2, w[3]), (2, w[4])])
+
+
+def test_secrets_of_every_class_mix():
+    for key in ("key-3ax6xnjp29jd6fds4gc373sgvjxteol0", "MZXW6YTBOI7Q2KJ5LRX3DHPN4VGA", "kQzWvXbNpLtRmYsHcJdFgTuAoEiKxVw", "zqxwvkjpmhtbrnlgydcfusoaie"):
+        assert secret_scan.redact(f"use {key} now") == "use [SECRET] now", key
+    long = "kJ8fQ2mZx7Lw9RtY4vBn" + "abcdeabcdeabcde/zzzzzzzz"
+    assert secret_scan.redact(f"a {long} b") == "a [SECRET] b"
+    assert secret_scan.redact("https/example/kJ8fQ2mZx7Lw9RtY4vBn is") == "[SECRET] is"
+    for text in ("AKIAIOSFODNN/EXAMPLE7", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "550e8400-e29b-41d4-a716-446655440000", "2023/05/12/some-title-of-a-story", "Donaudampfschifffahrtsgesellschaft", "12345678901234567890"):
+        assert secret_scan.added_spans(text) == [], text
