@@ -1,9 +1,10 @@
 """HTML extraction by tree scoring.
 
-The page becomes a tree. Boilerplate elements go by their tag, role, or class and id words. Every paragraph-like block
+The page becomes a tree. Boilerplate elements go by their tag or role. They go by a class or id word, too. Every paragraph-like block
 passes points for its length and its commas to its ancestors, the nearest most, and a container's points are discounted by
-the share of its text that stands in links. The best container is kept, and those siblings of it that score well or
-are long paragraphs with few links. Their text is the result: character references decoded, white space inside a
+the share of its text that stands in links. The best container is kept, or the outermost article or main element around it, then
+each parent whose other children are no boilerplate, and of the next parent the children that are none: neither
+marked nor, as blocks or runs of loose text, mostly links. Their text is the result: character references decoded, white space inside a
 block turned into one space, blocks joined in page order by one space.
 
 Null or empty html, and pages without text, give empty text. Broken markup (tags left open, cut tags or references) is
@@ -24,6 +25,8 @@ RAW = frozenset("script style noscript template iframe svg math object canvas".s
 DROPPED = RAW | frozenset("head title nav footer aside form button select option textarea label fieldset dialog menu audio video".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPHS = frozenset("p pre blockquote td li dd div section article main body figcaption".split())
+#: Of these the points go to their parent.
+LEAVES = frozenset("p pre blockquote td li dd figcaption".split())
 #: What a start tag closes implicitly, and the elements beyond which it does not look.
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ENDS_P = BLOCKS - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
@@ -116,13 +119,11 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
-def extract(html: str | None) -> str:
-    if not html:
-        return ""
-    nodes = _order(parse(html))
+def _measure(nodes: list[Node]) -> dict[int, int]:
+    """Counts characters, commas and characters in links of all nodes; gives the characters outside inner blocks by id()."""
     own: dict[int, int] = {}
     for node in reversed(nodes):
-        direct = 0
+        direct = node.chars = node.links = node.commas = 0
         for k in node.kids:
             if isinstance(k, str):
                 n = len(k.strip())
@@ -138,12 +139,47 @@ def extract(html: str | None) -> str:
         own[id(node)] = direct
         if node.tag == "a":
             node.links = node.chars
+    return own
+
+
+def _kept(best: Node) -> list:
+    """What is kept around the best container."""
+    up = best
+    while up is not None:
+        best, up = up if up.tag in ("article", "main") else best, up.up
+    while best.up is not None:
+        runs: list[list] = [[]]  # blocks one by one, loose text and inline elements together
+        for k in best.up.kids:
+            if isinstance(k, str) or k.tag not in BLOCKS and k is not best and not k.bad:
+                runs[-1].append(k)
+            else:
+                runs += [[k], []]
+        fine, whole = [], True
+        for run in runs:
+            chars = sum(len(k.strip()) if isinstance(k, str) else k.chars for k in run)
+            links = sum(k.links for k in run if not isinstance(k, str))
+            bad = any(not isinstance(k, str) and k.bad for k in run)
+            if best in run or not bad and 2 * links <= chars:
+                fine += run
+            elif chars and not bad or bad and run[0].tag not in RAW and run[0].tag not in ("head", "title"):
+                whole = False
+        if not whole:
+            return fine
+        best = best.up
+    return [best]
+
+
+def extract(html: str | None) -> str:
+    if not html:
+        return ""
+    nodes = _order(parse(html))
+    own = _measure(nodes)
     for node in nodes:
         if node.tag in PARAGRAPHS and own[id(node)]:
             text = own[id(node)]
             share = 1 - node.links / max(1, node.chars)
             points = ((1.0 if text >= 25 else text / 25) + node.commas * text / max(1, node.chars) + min(3.0, text / 100)) * share
-            up, level = node.up if node.tag in ("p", "pre", "blockquote", "td", "li", "dd", "figcaption") else node, 0
+            up, level = node.up if node.tag in LEAVES else node, 0
             while up is not None and level < 6:
                 up.points += points / (1, 2, 6, 9, 12, 15)[level]
                 up, level = up.up, level + 1
@@ -155,14 +191,8 @@ def extract(html: str | None) -> str:
                 node.points += 25 * (node.tag in ("article", "main")) + 10 * node.good
             if node.points > most:
                 best, most = node, node.points
-    if best is None:
-        return ""
-    kept = [best]
-    if best.up is not None:
-        least = max(10.0, most * 0.2)
-        kept = [k for k in best.up.kids if k is best or not isinstance(k, str) and not k.bad and k.chars and (k.tag == best.tag and k.points >= least or k.tag in ("h1", "h2") or k.tag == "p" and k.chars > 80 and k.links < 0.25 * k.chars)]
     parts: list[str] = []
-    todo: list = kept[::-1]
+    todo: list = _kept(best)[::-1] if best else []
     while todo:
         x = todo.pop()
         if isinstance(x, str):

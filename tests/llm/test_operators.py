@@ -298,3 +298,14 @@ def test_secrets_of_every_class_mix():
     assert secret_scan.redact("https/example/kJ8fQ2mZx7Lw9RtY4vBn is") == "[SECRET] is"
     for text in ("AKIAIOSFODNN/EXAMPLE7", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "550e8400-e29b-41d4-a716-446655440000", "2023/05/12/some-title-of-a-story", "Donaudampfschifffahrtsgesellschaft", "12345678901234567890"):
         assert secret_scan.added_spans(text) == [], text
+
+
+def test_html_keeps_what_stands_beside_the_best_container():
+    para = "<p>Some words of a paragraph, with a comma, that goes on for a while.</p>"
+    for n in (2, 40):
+        body = f"<p>Short lead.</p><div>{para * n}</div><ul><li>one</li></ul><h3>Three</h3><table><tr><td>cell</td></tr></table><pre>code</pre>"
+        for page in (f"<body><nav>go</nav><article>{body}</article><footer>f</footer></body>", f"<body><div class=nav>go</div><div>{body}</div></body>", f"<body>{body}loose text</body>"):
+            text = html_text.extract(page)
+            assert text.startswith("Short lead. Some words") and "one Three cell code" in text and "go" not in text.split(), page
+    assert html_text.extract(f"<body><ul><li><a href=x>menu</a></li></ul><div>{para * 3}</div><p>End.</p></body>").endswith("while. End.")
+    assert "menu" not in html_text.extract(f"<body><ul><li><a href=x>menu</a></li></ul><div>{para * 3}</div><p>End.</p></body>")
