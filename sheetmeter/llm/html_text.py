@@ -1,13 +1,15 @@
 """HTML extraction by tree scoring.
 
-The page becomes a tree. Boilerplate elements go by their tag or role. They go by a class or id word, too. Every paragraph-like block
+The page becomes a tree. Boilerplate elements go by their tag or role. They go by a class or id word, too, unless another
+one names content or the element holds most of the page's text outside links (beside an article or main element that has text of its own it
+goes all the same). Every paragraph-like block
 passes points for its length and its commas to its ancestors, the nearest most, and a container's points are discounted by
 the share of its text that stands in links. The best container is kept, or the outermost article or main element around it, then
 each parent whose other children are no boilerplate, and of the next parent the children that are none: neither
 marked nor, as blocks or runs of loose text, mostly links. Their text is the result: character references decoded, white space inside a
 block turned into one space, blocks joined in page order by one space.
 
-Null or empty html, and pages without text, give empty text. Broken markup (tags left open, cut tags or references) is
+Null or empty html, and pages without text outside elements that go by tag or role, give empty text. Broken markup (tags left open, cut tags or references) is
 read as far as it goes; very long pages are read whole and in linear time. Repeated rows are extracted one by one. Only
 the id, url and html columns are read, so other columns cannot clash.
 """
@@ -24,9 +26,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template iframe svg math object canvas".split())
 DROPPED = RAW | frozenset("head title nav footer aside form button select option textarea label fieldset dialog menu audio video".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-PARAGRAPHS = frozenset("p pre blockquote td li dd div section article main body figcaption".split())
+PARAGRAPHS = frozenset("p pre blockquote td li dd div section article main body html figcaption h1 h2 h3 h4 h5 h6".split())
 #: Of these the points go to their parent.
-LEAVES = frozenset("p pre blockquote td li dd figcaption".split())
+LEAVES = frozenset("p pre blockquote td li dd figcaption h1 h2 h3 h4 h5 h6".split())
+#: Class words that tell what stands beside, or does not.
+BESIDE = re.compile(r"(?:has|no|with|without|not)[_-]", re.I)
 #: What a start tag closes implicitly, and the elements beyond which it does not look.
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ENDS_P = BLOCKS - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
@@ -38,17 +42,19 @@ _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "words", "bad", "good", "chars", "links", "commas", "points")
+    __slots__ = ("tag", "up", "kids", "words", "bad", "weak", "good", "chars", "links", "commas", "points")
 
     def __init__(self, tag: str, up: Node | None, attrs: str = ""):
         self.tag, self.up, self.kids = tag, up, []
         self.chars = self.links = self.commas = 0
-        self.points, self.bad, self.good = 0.0, tag in DROPPED, False
+        self.points, self.bad, self.weak, self.good = 0.0, tag in DROPPED, False, False
         if attrs:
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
             words = f"{found.get('class', '')} {found.get('id', '')}"
             self.good = bool(GOOD.search(words))
-            self.bad |= found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true" or "hidden" in found or (tag not in ("html", "body", "article", "main") and bool(BAD.search(words)))
+            self.bad |= found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true" or "hidden" in found
+            marks = [w for w in words.split() if BAD.search(w)] if tag not in ("html", "body", "article", "main") else []
+            self.weak = any(not BESIDE.match(w) for w in marks) and not any(GOOD.search(w) for w in words.split() if w not in marks)
         if tag == "header" and not self.inside({"article", "main"}):
             self.bad = True
 
@@ -142,6 +148,19 @@ def _measure(nodes: list[Node]) -> dict[int, int]:
     return own
 
 
+def _drop_marked(nodes: list[Node]) -> bool:
+    """Marks the boilerplate by class and id words as bad; whether any is."""
+    plain = lambda x: x.chars - x.links
+    body: dict[int, int] = {}  # text within article and main elements, by id()
+    for node in reversed(nodes):
+        body[id(node)] = plain(node) if node.tag in ("article", "main") else sum(body[id(k)] for k in node.kids if not isinstance(k, str) and not k.bad)
+    weak = [node for node in nodes if node.weak]
+    for node in weak:
+        most = 2 * plain(node) > plain(nodes[0])
+        node.bad = not most or body[id(nodes[0])] > body[id(node)] and not node.inside({"article", "main"})
+    return any(node.bad for node in weak)
+
+
 def _kept(best: Node) -> list:
     """What is kept around the best container."""
     up = best
@@ -174,6 +193,9 @@ def extract(html: str | None) -> str:
         return ""
     nodes = _order(parse(html))
     own = _measure(nodes)
+    if _drop_marked(nodes):
+        nodes = _order(nodes[0])
+        own = _measure(nodes)
     for node in nodes:
         if node.tag in PARAGRAPHS and own[id(node)]:
             text = own[id(node)]
@@ -192,7 +214,7 @@ def extract(html: str | None) -> str:
             if node.points > most:
                 best, most = node, node.points
     parts: list[str] = []
-    todo: list = _kept(best)[::-1] if best else []
+    todo: list = (_kept(best) if best else [nodes[0]])[::-1]  # a page of links only stays whole
     while todo:
         x = todo.pop()
         if isinstance(x, str):

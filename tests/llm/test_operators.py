@@ -309,3 +309,11 @@ def test_html_keeps_what_stands_beside_the_best_container():
             assert text.startswith("Short lead. Some words") and "one Three cell code" in text and "go" not in text.split(), page
     assert html_text.extract(f"<body><ul><li><a href=x>menu</a></li></ul><div>{para * 3}</div><p>End.</p></body>").endswith("while. End.")
     assert "menu" not in html_text.extract(f"<body><ul><li><a href=x>menu</a></li></ul><div>{para * 3}</div><p>End.</p></body>")
+
+
+def test_html_keeps_marked_articles_and_pages_of_loose_text():
+    para = "<p>Some words of a paragraph, with a comma, that goes on for a while.</p>"
+    for mark in ("post has-sidebar", "content no-sidebar", "with-comments", "page legal", "legal"):
+        assert html_text.extract(f"<body><div class='{mark}'>{para}</div><div class=sidebar>side</div></body>") == para[3:-4], mark
+    assert html_text.extract(f"<body><article>{para}</article><div class=comments>{para * 9}</div></body>") == para[3:-4]
+    assert html_text.extract("<html><b>text</b>") == html_text.extract("text") == html_text.extract("<body><h2>text</h2></body>") == html_text.extract("<a href=x>text</a>") == "text"
