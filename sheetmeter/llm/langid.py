@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import byte_view, crc_mod, slices
 
-#: Bounds of the training sample: documents and bytes a language (whole documents only), and languages.
-TRAIN_DOCS, TRAIN_BYTES, TRAIN_LANGS = 300, 1_500_000, 64
+#: Bounds of the training sample: documents and bytes a language (whole documents only; a language without one that fits
+#: learns from the first bytes of one). Every language is learned.
+TRAIN_DOCS, TRAIN_BYTES = 300, 1_500_000
 ORDER = 2
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -105,19 +106,24 @@ class Model:
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, docs: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> Model:
     """Fits on a sample of at most `docs` documents and `most_bytes` bytes a language, drawn by a hash of the id."""
     known = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TRAIN_LANGS).collect()}
+    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return Model({}, order)
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, docs / n))])
     drawn = known.where(F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
     texts: dict[str, list[bytes]] = {k: [] for k in sizes}
-    room = dict.fromkeys(sizes, most_bytes)
+    room, cut = dict.fromkeys(sizes, most_bytes), {}
     # expected size: `docs` documents a language; limit() holds the bound whatever the hash does
     for r in drawn.select("lang", "text", "id").limit(2 * docs * len(sizes)).sort("lang", F.xxhash64("id"), "id", "text").collect():
         t = r[1].encode()
         if len(t) <= room[r[0]] and len(texts[r[0]]) < docs:
             texts[r[0]].append(t)
             room[r[0]] -= len(t)
+        elif len(t) > most_bytes and r[0] not in cut:
+            cut[r[0]] = t[:most_bytes]
+    for lang, ts in texts.items():
+        if not ts and lang in cut:
+            ts.append(cut[lang])
     return Model(texts, order)
 
 

@@ -317,3 +317,11 @@ def test_html_keeps_marked_articles_and_pages_of_loose_text():
         assert html_text.extract(f"<body><div class='{mark}'>{para}</div><div class=sidebar>side</div></body>") == para[3:-4], mark
     assert html_text.extract(f"<body><article>{para}</article><div class=comments>{para * 9}</div></body>") == para[3:-4]
     assert html_text.extract("<html><b>text</b>") == html_text.extract("text") == html_text.extract("<body><h2>text</h2></body>") == html_text.extract("<a href=x>text</a>") == "text"
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"aa{chr(97 + i // 26)}{chr(97 + i % 26)} " * 3, f"l{i:03}") for i in range(70)] + [(900, "zzz " * 30, "long")]
+    model = langid.train(spark.createDataFrame(rows * 2, "doc_id long, text string, lang string"), most_bytes=60)
+    assert len(model.langs) == 71
+    d = spark.createDataFrame([(1, "zzz zzz")], "doc_id long, text string")
+    assert langid.identify(d, model).head()["lang_pred"] == "long"
