@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -37,11 +39,25 @@ def materialise(df: DataFrame, *keys: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/sheetmeter-{uuid.uuid4().hex}"
-    (df.repartition(*keys) if keys else df).write.parquet(path)
+    with freed_shuffles(spark):
+        (df.repartition(*keys) if keys else df).write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession):
+    """What is written inside removes its shuffle files when it ends, not when the driver collects its garbage; a plan
+    that reads them again would compute them anew."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.set(name, "true")
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def remove_table(df_path_owner: DataFrame) -> None:
     """Deletes the files of a table that materialise() wrote, once nothing reads it any more."""
     spark = df_path_owner.sparkSession
@@ -58,7 +74,7 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def semi_join(df: DataFrame, ids: DataFrame, key: str, most: int = BROADCAST_ROWS) -> DataFrame:
+def semi_join(df: DataFrame, ids: DataFrame, key: str | list[str], most: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of df whose key is in ids: broadcast when ids is counted at `most` rows or fewer, else by shuffle."""
     small = ids.limit(most + 1).count() <= most
     return df.join(F.broadcast(ids) if small else ids, key, "left_semi")
@@ -86,6 +102,13 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20):
         at = to
 
 
+def release() -> None:
+    """Gives freed memory of this worker back to the system, as workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n

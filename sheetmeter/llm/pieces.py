@@ -1,31 +1,36 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-For each batch the distinct words (a space mark and what follows up to the next) not met before are concatenated and indexed: all
-suffixes that start at a character are sorted by as many bytes as the longest piece has, every piece's occurrences are the
-range that two binary searches find, and the occurrences are the edges of a lattice. Sorted by where they end, the
+The words of a slice of the batch (a space mark and what follows up to the next) that were not met before are concatenated
+and indexed block by block: all suffixes are ranked by 8, 16 and then 32 bytes, every piece's occurrences are the range that binary
+searches over these ranks find, and the occurrences are the edges of a lattice. Sorted by where they end, the
 edges are relaxed: an edge extends the encoding of the text before it if the last piece of that encoding and the edge's
-piece encode to just these two. By the prefix property of byte-pair merging exactly one edge holds at each position,
-so walking back from the end of a word gives its encoding, the same as merging pairs by score gives. Characters outside
-the vocabulary become byte pieces. Runs of spaces, whose pieces merge after all others, are merged by themselves.
+piece encode to just these two, which is told by undoing their merges step by step. By the prefix property of byte-pair merging exactly one edge
+holds at each position, so walking back from the end of a word gives its encoding, the same as merging pairs by score gives. Characters
+outside the vocabulary become byte pieces. Runs of spaces, whose pieces merge after all others, are merged by themselves.
 
 Null and empty texts have no pieces and decode to empty text. Texts are encoded whole; a batch is worked off in slices
-of about 6 MB. Equal rows get equal rows. A literal U+2581 is read as a space, as the model does; otherwise decoding
+of about 3 MB, and words in blocks of BLOCK bytes: a longer word runs through several blocks, so that no index grows with it.
+Time grows in proportion to the text, also within one word. Equal rows get equal rows; ties do not occur, as exactly one edge holds. An empty
+table gives an empty table. A literal U+2581 is read as a space, as the model does; otherwise decoding
 gives the text back. Only the id and text columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import byte_view, slices
+from .common import byte_view, release, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words a task remembers, and pairs of pieces; both are dropped and learnt anew beyond that.
-MEMO_WORDS, MEMO_PAIRS = 300_000, 1_000_000
+#: Words a task remembers before it learns them anew; bytes of words that are indexed at once; bytes from which a word is relaxed
+#: edge by edge, as few words are that long; slots of the table of known pairs (a power of two).
+MEMO_WORDS, BLOCK, LONG, SLOTS = 200_000, 1 << 17, 256, 1 << 20
 
 
 def load(path: str = MODEL) -> list[tuple[str, float, int]]:
@@ -58,27 +63,53 @@ class Codec:
         inner = [p for p in self.id if p.strip(MARK)]
         if any(MARK in p[1:] for p in inner):
             raise ValueError("a piece holds a space mark behind its first character")
-        single = [p for p in inner if len(self.merged(list(p))) == 1]
+        self._merges(inner)
+        single = [p for p in inner if len(p) == 1 or self.left[self.id[p]] >= 0]
         single += [MARK] if MARK in self.id else []
         self.pieces = sorted(single, key=lambda p: p.encode())
         raw = [p.encode() for p in self.pieces]
-        self.width = max(len(x) for x in raw)
-        self.low = np.array(raw, f"S{self.width}")
-        self.high = np.array([x + b"\xff" * (self.width - len(x)) for x in raw], f"S{self.width}")
+        self.width = max((len(x) for x in raw), default=1)
+        if self.width > 32:
+            raise ValueError("a piece is longer than 32 bytes")
         self.size = np.array([len(x) for x in raw], np.int32)
         self.ids = np.array([self.id[p] for p in self.pieces], np.int32)
-        self.names = {self.id[p]: p for p in self.pieces}
-        self.keys, self.valid = np.zeros(0, np.int64), np.zeros(0, bool)
+        # the first and the last string that begin with a piece, as four numbers of eight bytes each; equal numbers are searched once
+        ends = np.frombuffer(b"".join(x.ljust(32, c) for c in (b"\0", b"\xff") for x in raw), ">u8").astype(np.uint64)
+        self.cuts, self.cut_of = np.unique(ends, return_inverse=True)
+        self.known, self.holds = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
         self.runs: dict[int, list[int]] = {}
+        self.whole_of: dict[int, int] | None = None
         self._forget()
 
+    def _merges(self, inner: list[str]) -> None:
+        """The rank of each piece (better scores first), the two pieces it is merged from last, and all pairs that give a piece."""
+        n = len(self.rows)
+        order = sorted((i for p, i in self.id.items()), key=lambda i: (-self.rows[i][1], i))
+        self.rank = np.full(n, n, np.int64)
+        self.rank[order] = np.arange(len(order))
+        self.left, self.right = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+        pairs, whole = [], []
+        for p in inner:
+            for k in range(1, len(p)):
+                a, b = self.id.get(p[:k]), self.id.get(p[k:])
+                if a is not None and b is not None:
+                    pairs.append(a * n + b)
+                    whole.append(self.rank[self.id[p]])
+        by = np.argsort(pairs) if pairs else np.zeros(0, np.int64)
+        self.pairs, self.whole = np.array(pairs, np.int64)[by], np.array(whole, np.int64)[by]
+        for p in sorted(inner, key=len):  # a piece that does not encode to itself never stands in an encoding
+            if len(p) > 1:
+                parts = self.merged(list(p), stop=p)
+                if len(parts) == 2:
+                    self.left[self.id[p]], self.right[self.id[p]] = self.id[parts[0]], self.id[parts[1]]
+
     def _forget(self) -> None:
         """Words that were encoded before are not indexed again; the memory of them is bounded by MEMO_WORDS."""
         self.memo: dict[str, int] = {}
         self.store, self.store_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def merged(self, parts: list[str]) -> list[str]:
-        """Merges the pair of the best score, the leftmost first, until none is left."""
+    def merged(self, parts: list[str], stop: str | None = None) -> list[str]:
+        """Merges the pair of the best score, the leftmost first, until none is left or the next merge would give `stop`."""
         score = self.score
         while len(parts) > 1:
             best, at = None, -1
@@ -86,7 +117,7 @@ class Codec:
                 s = score.get(parts[i] + parts[i + 1])
                 if s is not None and (best is None or s > best):
                     best, at = s, i
-            if best is None:
+            if best is None or parts[at] + parts[at + 1] == stop:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
@@ -106,105 +137,107 @@ class Codec:
                 return out + self.marks(rest)
         return self.runs[n]
 
-    def _valid(self, pairs: np.ndarray) -> np.ndarray:
-        """Whether the two pieces of each pair (first * size + second) encode to themselves when joined."""
-        at = np.searchsorted(self.keys, pairs)
-        at[at == len(self.keys)] = 0
-        known = self.keys[at] == pairs if len(self.keys) else np.zeros(len(pairs), bool)
-        if not known.all():
-            new, v = np.unique(pairs[~known]), len(self.rows)
-            ok = []
-            for k in new.tolist():
-                a, b = self.names[k // v], self.names[k % v]
-                ok.append(self.merged(list(a + b)) == [a, b])
-            if len(self.keys) > MEMO_PAIRS:  # the memo is only a memo
-                self.keys, self.valid = np.zeros(0, np.int64), np.zeros(0, bool)
-            keys, valid = np.concatenate([self.keys, new]), np.concatenate([self.valid, np.array(ok, bool)])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.valid = keys[order], valid[order]
-            if len(self.keys) < len(keys) or not known.all():
-                at = np.searchsorted(self.keys, pairs)
-                miss = (at == len(self.keys)) | (self.keys[np.minimum(at, len(self.keys) - 1)] != pairs)
-                if miss.any():
-                    return self._valid(pairs)
-        return self.valid[at]
+    def _valid(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Whether the two pieces of each pair encode to themselves when joined; known pairs are looked up."""
+        pair = first.astype(np.int64) * len(self.rows) + second
+        slot = (pair * 0x9E3779B97F4A7C1 >> 20) & (SLOTS - 1)
+        out = self.holds[slot]
+        new = np.flatnonzero(self.known[slot] != pair)
+        if len(new):
+            out[new] = self._apart(first[new], second[new])
+            self.known[slot[new]], self.holds[slot[new]] = pair[new], out[new]
+        return out
+
+    def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Undoes the later merge of the two sides, step by step: the pair stands if no pair of neighbours met on the way
+        would have merged before that."""
+        n = len(self.rows)
+        ok, todo = np.ones(len(a), bool), np.arange(len(a))
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        limit = np.full(len(a), n + 1, np.int64)  # the rank of the earliest merge undone so far; one more if it was on the right side
+        while len(todo) and len(self.pairs):
+            at = np.searchsorted(self.pairs, a * n + b)
+            at[at == len(self.pairs)] = 0
+            clash = (self.pairs[at] == a * n + b) & (self.whole[at] < limit)
+            ok[todo[clash]] = False
+            # what is left of a pair is its inner sides: the right part of the first piece, the left part of the second
+            ra = np.where(self.left[a] >= 0, self.rank[a], -1)
+            rb = np.where(self.left[b] >= 0, self.rank[b], -1)
+            go = ~clash & ((ra >= 0) | (rb >= 0))
+            todo, a, b, ra, rb = todo[go], a[go], b[go], ra[go], rb[go]
+            # the left side is merged first among equal ranks, so the right one is undone first
+            of_a = ra > rb
+            limit = np.where(of_a, ra, rb + 1)
+            a, b = np.where(of_a, self.right[a], a), np.where(of_a, b, self.left[b])
+        return ok
+
+    def _ranges(self, block: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places of the first n bytes of the block in the order of the 32 bytes from there on (beyond the block: 255), and for each
+        piece the range of places that begin with it."""
+        padded = np.concatenate([block, np.full(40, 255, np.uint8)])
+        key = np.zeros(len(block) + 32, np.uint64)
+        for j in range(8):
+            key = (key << np.uint64(8)) | padded[j : j + len(key)]
+        u1, r1 = np.unique(key, return_inverse=True)
+        pair = lambda r, step: (r[: len(r) - step].astype(np.uint64) << np.uint64(32)) | r[step:].astype(np.uint64)
+        u2, r2 = np.unique(pair(r1, 8), return_inverse=True)
+        k4 = pair(r2, 16)[:n]
+        order = np.argsort(k4, kind="stable")
+        u4 = k4[order]
+        least, after = (np.searchsorted(u1, self.cuts, side).astype(np.uint64)[self.cut_of].reshape(2, -1, 4) for side in ("left", "right"))
+
+        def half(string: int, k: int, upper: bool) -> np.ndarray:
+            """How many of u2 stand before the numbers k and k + 1 of the first (0) or last (1) strings, or not behind them."""
+            low, high = least[string, :, k], after[string, :, k]
+            second = (after if upper else least)[string, :, k + 1]
+            return np.searchsorted(u2, (low << np.uint64(32)) + np.where(high > low, second, np.uint64(0)), "left").astype(np.uint64)
+
+        def bound(string: int) -> np.ndarray:
+            first, last = half(string, 0, False), half(string, 0, True)
+            return np.searchsorted(u4, (first << np.uint64(32)) + np.where(last > first, half(string, 2, string == 1), np.uint64(0)), "left")
+
+        return order, bound(0), bound(1)
 
     def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Encodes each word with a space mark before it: piece ids, and where each word's begin."""
         texts = pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), words.cast(pa.large_string()), pa.scalar("", pa.large_string()))
         data, offsets = byte_view(texts)
         lens = np.diff(offsets)
-        buf = np.full(len(data) + len(lens) + self.width, 255, np.uint8)  # a word, then a byte that no piece holds
+        n = len(data) + len(lens)
+        buf = np.full(n + 8, 255, np.uint8)  # a word, then a byte that no piece holds
         starts = offsets[:-1] + np.arange(len(lens))
-        place = np.arange(len(data)) + np.repeat(np.arange(len(lens)), lens)
-        buf[place] = data
+        inside = np.ones(n, bool)
+        inside[starts + lens] = False
+        buf[:n][inside] = data
         text = buf.copy()
         buf[buf == 0] = 255
-        n = len(data) + len(lens)
-        heads = np.flatnonzero((buf[:n] & 0xC0) != 0x80)
-        window = np.lib.stride_tricks.sliding_window_view(buf, self.width)
-        # the suffix array over the character starts, sorted by eight bytes at a time
-        pad = -self.width % 8
-        wide = np.zeros((len(heads), self.width + pad), np.uint8)
-        wide[:, : self.width] = window[heads]
-        columns = wide.view(">u8").astype(np.uint64)
-        order = np.lexsort(columns.T[::-1])
-        suffixes = np.ascontiguousarray(wide[order, : self.width]).view(f"S{self.width}").ravel()
-        heads = heads[order]
-        lo, hi = np.searchsorted(suffixes, self.low, "left"), np.searchsorted(suffixes, self.high, "right")
-        count = hi - lo
-        which = np.repeat(np.arange(len(count)), count)
-        rank = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-        begin, piece, size = heads[rank], self.ids[which], self.size[which]
-        # edges for characters outside the vocabulary, which nothing merges with
-        first = np.full(256, 1, np.int8)
-        first[0xC0:0xE0], first[0xE0:0xF0], first[0xF0:0xF8] = 2, 3, 4
-        lead = np.flatnonzero((buf[:n] & 0xC0) != 0x80)
-        inside = np.zeros(n, bool)
-        inside[place] = True
-        lead = lead[inside[lead]]
-        width = first[buf[lead]].astype(np.int32)
-        covered = np.zeros(n + 8, bool)
-        one = size == first[buf[begin]]
-        covered[begin[one]] = True
-        lead, width = lead[~covered[lead]], width[~covered[lead]]
-        begin, piece, size = np.concatenate([begin, lead]), np.concatenate([piece, np.full(len(lead), -1, np.int32)]), np.concatenate([size, width])
-        owner = np.searchsorted(starts, begin, side="right") - 1
-        depth = begin + size - starts[owner]
-        by = np.argsort(depth, kind="stable")
-        begin, piece, size, depth = begin[by], piece[by], size[by], depth[by]
-        last = np.full(n + 1, -2, np.int32)  # the last piece of the encoding up to here; -1 for a character outside
-        back = np.zeros(n + 1, np.int32)
+        last = np.full(n + 40, -2, np.int32)  # the last piece of the encoding up to here; -1 for a character outside
+        back = np.zeros(n + 40, np.int8)
         last[starts] = -1
-        cuts = np.flatnonzero(np.diff(depth)) + 1
-        v = len(self.rows)
-        for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(depth)]]), strict=True):
-            if a == b:
-                continue
-            s, p = begin[a:b], piece[a:b]
-            before = last[s]
-            ok = before >= -1
-            test = ok & (before >= 0) & (p >= 0)
-            if test.any():
-                ok[test] = self._valid(before[test].astype(np.int64) * v + p[test])
-            e = s[ok] + size[a:b][ok]
-            last[e] = p[ok]
-            back[e] = size[a:b][ok]
+        at = 0
+        while at < n:
+            self._block(buf, inside, starts, lens, at, min(n, at + BLOCK), last, back)
+            at += BLOCK
         # walk back from the ends of all words at once
-        ends, at, step, found = starts + lens, starts + lens, 0, []
-        alive = np.flatnonzero(lens > 0)
-        while len(alive):
-            here = at[alive]
-            found.append((alive, here, last[here]))
-            at[alive] = here - back[here]
-            alive = alive[at[alive] > starts[alive]]
-        del ends, step
+        here, alive, found = starts + lens, np.flatnonzero(lens > 0), []
+        while len(alive) > 64:
+            place = here[alive]
+            found.append((alive, place, last[place]))
+            here[alive] = place - back[place]
+            alive = alive[here[alive] > starts[alive]]
+        for k in alive.tolist():  # the few long ones
+            p, first, places = int(here[k]), int(starts[k]), []
+            while p > first:
+                places.append(p)
+                p -= int(back[p])
+            place = np.array(places, np.int64)
+            found.append((np.full(len(place), k), place, last[place]))
         owner = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
         where = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
         token = np.concatenate([f[2] for f in found]) if found else np.zeros(0, np.int32)
         by = np.argsort(where, kind="stable")
         owner, where, token = owner[by], where[by], token[by]
-        many = np.where(token < 0, back[where] if len(where) else 0, 1)
+        many = np.where(token < 0, back[where] if len(where) else 0, 1).astype(np.int64)
         ids = np.repeat(token, many)
         out = np.flatnonzero(ids < 0)
         if len(out):
@@ -214,6 +247,85 @@ class Codec:
         counts = np.bincount(owner, weights=many, minlength=len(lens)).astype(np.int64)
         return ids.astype(np.int32), np.concatenate([[0], np.cumsum(counts)])
 
+    def _block(self, buf, inside, starts, lens, a: int, z: int, last: np.ndarray, back: np.ndarray) -> None:
+        """Relaxes all edges that begin in the bytes a to z; what reaches beyond z is there when the next block begins."""
+        block = buf[a : min(len(buf), z + 32)]
+        order, lo, hi = self._ranges(block, z - a)
+        count = hi - lo
+        which = np.flatnonzero(count)
+        count = count[which]
+        rank = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo[which], count)
+        begin, piece, size = order[rank], np.repeat(self.ids[which], count), np.repeat(self.size[which], count)
+        # edges for characters outside the vocabulary, which nothing merges with
+        head = np.flatnonzero(inside[a:z] & ((block[: z - a] & 0xC0) != 0x80))
+        width = np.ones(len(head), np.int32)
+        lead = block[head]
+        for bits, w in ((0xC0, 2), (0xE0, 3), (0xF0, 4)):
+            width[(lead >= bits) & (lead < 255)] = w
+        one = np.zeros(z - a + 1, np.int32)
+        one[head] = width
+        covered = np.zeros(z - a, bool)
+        covered[begin[size == one[begin]]] = True
+        head, width = head[~covered[head]], width[~covered[head]]
+        begin, piece, size = np.concatenate([begin, head]) + a, np.concatenate([piece, np.full(len(head), -1, np.int32)]), np.concatenate([size, width])
+        owner = np.searchsorted(starts, begin, side="right") - 1
+        long = lens[owner] > LONG
+        end = begin + size
+        if long.any():
+            by = np.flatnonzero(long)
+            self._one_by_one(*(x[by[np.argsort(end[by], kind="stable")]] for x in (begin, piece, size)), last, back)
+            begin, piece, size, end, owner = (x[~long] for x in (begin, piece, size, end, owner))
+        depth = end - starts[owner]
+        by = np.argsort(depth.astype(np.int16), kind="stable")  # a short word's depth is below 300
+        begin, piece, size, depth = begin[by], piece[by], size[by], depth[by]
+        cuts = np.flatnonzero(np.diff(depth)) + 1
+        for i, j in zip(np.concatenate([[0], cuts]).tolist(), np.concatenate([cuts, [len(depth)]]).tolist(), strict=True):
+            if i == j:
+                continue
+            s, p, w = begin[i:j], piece[i:j], size[i:j]
+            before = last[s]
+            ok = before >= -1
+            test = np.flatnonzero(ok & (before >= 0) & (p >= 0))
+            if len(test):
+                ok[test] = self._valid(before[test], p[test])
+            e = s[ok] + w[ok]
+            last[e] = p[ok]
+            back[e] = w[ok]
+
+    def _one_by_one(self, begin, piece, size, last: np.ndarray, back: np.ndarray) -> None:
+        """The same for long words, whose edges are sorted by their ends."""
+        n, known = len(self.rows), {}
+        if self.whole_of is None:  # most texts hold no such word
+            self.whole_of = dict(zip(self.pairs.tolist(), self.whole.tolist(), strict=True))
+        for s, p, w in zip(begin.tolist(), piece.tolist(), size.tolist(), strict=True):
+            before = int(last[s])
+            if before < -1:
+                continue
+            if before >= 0 and p >= 0:
+                ok = known.get(before * n + p)
+                if ok is None:
+                    ok = known[before * n + p] = self._pair_apart(before, p)
+                if not ok:
+                    continue
+            last[s + w], back[s + w] = p, w
+
+    def _pair_apart(self, a: int, b: int) -> bool:
+        """_apart() for one pair."""
+        n = len(self.rows)
+        limit = n + 1
+        while True:
+            whole = self.whole_of.get(a * n + b)
+            if whole is not None and whole < limit:
+                return False
+            ra = int(self.rank[a]) if self.left[a] >= 0 else -1
+            rb = int(self.rank[b]) if self.left[b] >= 0 else -1
+            if ra > rb:
+                limit, a = ra, int(self.right[a])
+            elif rb >= 0:
+                limit, b = rb + 1, int(self.left[b])
+            else:
+                return True
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts, and where each text's begin."""
         if isinstance(texts, pa.ChunkedArray):
@@ -295,16 +407,20 @@ class Codec:
         return data[keep], ends - gone[ends]
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[str, Codec] = {}
 
 
 def encode_documents(df: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, ids, n_tokens and whether decoding gives the text back, for every row; with_text adds the decoded text."""
+    with open(path, "rb") as f:
+        name = hashlib.sha256(f.read()).hexdigest()
     shared = df.sparkSession.sparkContext.broadcast(load(path))  # the vocabulary, fixed by the model file
 
     def run(batches):
-        codec = _codecs.setdefault(hash(tuple(shared.value[-3:])), None) or Codec(shared.value)
-        _codecs[hash(tuple(shared.value[-3:]))] = codec
+        if name not in _codecs:
+            _codecs.clear()  # a worker holds one model at a time
+            _codecs[name] = Codec(shared.value)
+        codec = _codecs[name]
         for b in batches:
             for part in slices(b, "text", 3 << 20):
                 ids, edges = codec.encode(part.column(1))
@@ -320,6 +436,9 @@ def encode_documents(df: DataFrame, path: str = MODEL, id_col: str = "doc_id", t
                     cols.append(pa.array([bytes(data[at[i] : at[i + 1]]).decode("utf-8", "replace") for i in range(part.num_rows)], pa.string()))
                     names.append("text")
                 yield pa.RecordBatch.from_arrays(cols, names)
+            release()
+        codec._forget()
+        release()
 
     cols = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
     return cols.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean" + ", text string" * with_text)
