@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sheetmeter.functions import text as t
 
 
-def item_counts(items: DataFrame, detections: DataFrame) -> DataFrame:
-    """items: item_id, tag, description. Per item the count, reviews, source (none, the one, or mixed) and pages seen; items never seen stay."""
-    pages = detections.groupBy("item_id", "page").agg(F.sum("multiplier").cast("long").alias("n"), F.sum(F.col("needs_review").cast("long")).alias("r"), F.min("source").alias("lo"), F.max("source").alias("hi"))
-    one = pages.groupBy("item_id").agg(F.sum("n").alias("count"), F.sum("r").alias("needs_review"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("pages"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("page").cast("string"), "n")))).alias("per_page"))
+def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[str], name: str) -> DataFrame:
+    """Adds the place (from 1) of each row within its keys by order, which has to begin as the bucket does.
+
+    Rows are numbered within a bucket; only the buckets' sizes are summed along the order, so no key's rows meet in one task.
+    """
+    x = df.withColumn("_b", bucket)
+    sizes = x.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_b").alias("_c"), F.coalesce(before, F.lit(0)).alias("_before"))
+    same = F.col("_b").eqNullSafe(F.col("_c"))
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))
+    return x.join(sizes, same).withColumn(name, (place + F.col("_before")).cast("long")).drop("_b", "_c", "_before", *[f"_{k}" for k in keys])
+
+
+def item_counts(items: DataFrame, detections: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """items: item_id, tag, description (and keys). Per item the count, reviews, source (none, the one, or mixed) and pages seen; items never seen stay."""
+    pages = detections.groupBy(*keys, "item_id", "page").agg(F.sum("multiplier").cast("long").alias("n"), F.sum(F.col("needs_review").cast("long")).alias("r"), F.min("source").alias("lo"), F.max("source").alias("hi"))
+    one = pages.groupBy(*keys, "item_id").agg(F.sum("n").alias("count"), F.sum("r").alias("needs_review"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("pages"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("page").cast("string"), "n")))).alias("per_page"))
     zero = F.lit(0).cast("long")
-    return items.join(one, "item_id", "left").select("item_id", "tag", "description", F.coalesce("count", zero).alias("count"), F.coalesce("needs_review", zero).alias("needs_review"), F.when(F.col("lo").isNull(), "none").when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("mixed").alias("source"), F.coalesce("pages", zero).alias("pages"), "per_page")
+    return items.join(one, [*keys, "item_id"], "left").select(*keys, "item_id", "tag", "description", F.coalesce("count", zero).alias("count"), F.coalesce("needs_review", zero).alias("needs_review"), F.when(F.col("lo").isNull(), "none").when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("mixed").alias("source"), F.coalesce("pages", zero).alias("pages"), "per_page")
 
 
 def merge_items(counts: DataFrame) -> DataFrame:
@@ -25,8 +41,8 @@ def merge_items(counts: DataFrame) -> DataFrame:
 def bill(lines: DataFrame) -> DataFrame:
     """lines: key, description, count. Adds section and the reference within it (A/1, A/2, ...)."""
     section = lines.withColumn("section", t.section_of(F.col("description")))
-    w = Window.partitionBy("section").orderBy("key")
-    return section.withColumn("ref", F.concat_ws("/", "section", F.row_number().over(w).cast("string")))
+    placed = numbered(section, ["section"], F.substring("key", 1, 3), ["key"], "place")
+    return placed.withColumn("ref", F.concat_ws("/", "section", F.col("place").cast("string"))).drop("place")
 
 
 def bill_totals(lines: DataFrame) -> DataFrame:
@@ -48,21 +64,21 @@ def by_precedence(*ranked: DataFrame) -> DataFrame:
     return out
 
 
-def disagreements(detections: DataFrame) -> DataFrame:
+def disagreements(detections: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Items that vision and the rest count differently: both above 0 and apart by more than 1 and 5 %."""
     vision = F.col("source") == "vision"
-    n = detections.groupBy("item_id").agg(F.sum(F.when(vision, F.col("multiplier")).otherwise(0)).cast("long").alias("vision"), F.sum(F.when(vision, 0).otherwise(F.col("multiplier"))).cast("long").alias("other"))
+    n = detections.groupBy(*keys, "item_id").agg(F.sum(F.when(vision, F.col("multiplier")).otherwise(0)).cast("long").alias("vision"), F.sum(F.when(vision, 0).otherwise(F.col("multiplier"))).cast("long").alias("other"))
     return n.where((F.col("vision") > 0) & (F.col("other") > 0) & (F.abs(F.col("vision") - F.col("other")) > F.greatest(F.lit(1.0), F.col("other") * 0.05)))
 
 
-def merge_legends(items: DataFrame) -> DataFrame:
-    """items: legend_seq, item_seq, tag, description. The first of each tag, or of each description without one, stays; untagged ones are numbered L1, L2, ..."""
+def merge_legends(items: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """items: legend_seq, item_seq, tag, description (and keys). The first of each tag, or of each description without one, stays; untagged ones are numbered L1, L2, ..."""
+    keys = keys or []
     key = F.coalesce("tag", F.concat(F.lit("desc:"), "description"))
-    w = Window.partitionBy(key).orderBy("legend_seq", "item_seq")
-    first = items.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
-    # a legend holds tens of items: the numbering runs over the untagged ones left after merging
-    n = F.row_number().over(Window.partitionBy(F.col("tag").isNull()).orderBy("legend_seq", "item_seq"))
-    return first.withColumn("id", F.coalesce("tag", F.concat(F.lit("L"), n.cast("string"))))
+    w = Window.partitionBy(*keys, key).orderBy("legend_seq", "item_seq")
+    first = items.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r").withColumn("bare", F.col("tag").isNull())
+    placed = numbered(first, [*keys, "bare"], F.col("legend_seq"), ["legend_seq", "item_seq"], "place")
+    return placed.withColumn("id", F.coalesce("tag", F.concat(F.lit("L"), F.col("place").cast("string")))).drop("bare", "place")
 
 
 def raster_drawings(paths: DataFrame, pages: DataFrame, least: int = 50) -> DataFrame:

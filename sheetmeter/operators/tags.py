@@ -8,32 +8,37 @@ from pyspark.sql import functions as F
 from sheetmeter.functions import geometry as g
 from sheetmeter.functions import text as t
 
-BROADCAST_ROWS = 100_000
 
-
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it is counted at `most` rows or fewer, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def _in_box(boxes: DataFrame):
+    b = boxes.select(F.col("drawing_id").alias("b_d"), F.col("page").alias("b_p"), *[F.col(k).alias(f"b_{k}") for k in "xywh"])
+    return b, (F.col("drawing_id") == F.col("b_d")) & (F.col("page") == F.col("b_p")) & g.center_inside("b_", "")
 
 
 def outside(spans: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Spans whose centre lies in no box of the same drawing and page."""
-    b = boxes.select(F.col("drawing_id").alias("b_d"), F.col("page").alias("b_p"), *[F.col(k).alias(f"b_{k}") for k in "xywh"])
-    return spans.join(small(b), (F.col("drawing_id") == F.col("b_d")) & (F.col("page") == F.col("b_p")) & g.center_inside("b_", ""), "left_anti")
+    """Spans whose centre lies in no box of the same drawing and page: an equality join on the page, the box as residual."""
+    b, within = _in_box(boxes)
+    return spans.join(b, within, "left_anti")
 
 
 def inside(spans: DataFrame, boxes: DataFrame) -> DataFrame:
-    b = boxes.select(F.col("drawing_id").alias("b_d"), F.col("page").alias("b_p"), *[F.col(k).alias(f"b_{k}") for k in "xywh"])
-    return spans.join(small(b), (F.col("drawing_id") == F.col("b_d")) & (F.col("page") == F.col("b_p")) & g.center_inside("b_", ""), "left_semi")
+    b, within = _in_box(boxes)
+    return spans.join(b, within, "left_semi")
 
 
-def match_tags(spans: DataFrame, tags: DataFrame) -> DataFrame:
-    """spans with tag and multiplier, by the first reading that is one of the tags (column tag)."""
-    # distinct texts are parsed once: a drawing repeats few of them
-    texts = spans.select("str").where("str is not null").distinct().select("str", F.posexplode(t.tag_candidates(t.normalise("str"))).alias("k", "c"))
-    read = texts.join(small(tags.select(F.col("tag").alias("known")).distinct()), F.col("c.tag") == F.col("known"))
-    read = read.groupBy("str").agg(F.min(F.struct("k", "c")).alias("m")).select("str", "m.c.tag", "m.c.multiplier")
-    return spans.join(small(read), "str")
+def match_tags(spans: DataFrame, tags: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """spans with tag and multiplier, by the first reading that is one of the tags (column tag), of the same keys if any are given.
+
+    A span's readings are worked out in its own row and looked up in the list of the tags, one row for each key (a legend holds tens of tags),
+    so spans are neither exploded nor shuffled for themselves.
+    """
+    known = tags.where("tag is not null").groupBy(*keys).agg(F.collect_set("tag").alias("known"))
+    read = spans.withColumn("readings", t.tag_candidates(t.normalise("str")))
+    if keys:
+        read = read.join(known, list(keys))
+    else:  # the list is a single row
+        read = read.withColumn("all", F.lit(1)).join(F.broadcast(known.withColumn("all", F.lit(1))), "all").drop("all")
+    read = read.withColumn("m", F.get(F.filter("readings", lambda c: F.array_contains("known", c["tag"])), 0)).where("m is not null")
+    return read.withColumns({"tag": F.col("m.tag"), "multiplier": F.col("m.multiplier")}).drop("readings", "known", "m")
 
 
 def without_twins(hits: DataFrame) -> DataFrame:
@@ -51,7 +56,13 @@ def without_twins(hits: DataFrame) -> DataFrame:
     return lists.select("drawing_id", "page", "tag", F.explode(kept).alias("s")).select("drawing_id", "page", "tag", "s.seq", "s.multiplier", "s.box")
 
 
+def tag_detections(spans: DataFrame, items: DataFrame, exclusions: DataFrame) -> DataFrame:
+    """items: drawing_id, tag. The tagged instances of each drawing as detections."""
+    kept = without_twins(outside(match_tags(spans, items, ("drawing_id",)), exclusions))
+    return kept.select("drawing_id", "page", F.col("tag").alias("item_id"), "box.*", F.lit(1.0).alias("confidence"), F.lit("vector").alias("source"), F.col("multiplier").cast("int").alias("multiplier"), F.lit(False).alias("needs_review"), F.lit(None).cast("string").alias("review_reason"))
+
+
 def count_tags(spans: DataFrame, tags: DataFrame, exclusions: DataFrame) -> DataFrame:
-    """Per drawing and tag the sum of multipliers, without twin suppression."""
-    hits = match_tags(outside(spans, exclusions), tags)
+    """Per drawing and tag the sum of multipliers and the spans counted, one for twins that stand inside one symbol."""
+    hits = without_twins(outside(match_tags(spans, tags), exclusions))
     return hits.groupBy("drawing_id", "tag").agg(F.sum("multiplier").cast("long").alias("n"), F.count("*").alias("spans"))

@@ -76,7 +76,13 @@ out_ AS (SELECT got.* FROM got WHERE NOT EXISTS (SELECT 1 FROM bx WHERE bx.drawi
 """
 
 
-@query(_READ + "SELECT drawing_id, tag, sum(multiplier)::BIGINT AS n, count(*) AS spans FROM out_ GROUP BY ALL")
+_KEPT = """, r AS (SELECT *, floor(x * 10 + 0.5) / 10 + floor(w * 10 + 0.5) / 10 / 2 AS kx, floor(y * 10 + 0.5) / 10 + floor(h * 10 + 0.5) / 10 / 2 AS ky FROM {0}),
+lists AS (SELECT drawing_id, page, tag, list_sort(list({{'seq': seq, 'm': multiplier, 'cx': x + w / 2, 'cy': y + h / 2, 'r': least(8.0, font_size * 2.5)::DOUBLE, 'kx': kx, 'ky': ky}})) AS a FROM r GROUP BY ALL),
+k AS (SELECT drawing_id, tag, unnest(list_reduce(list_transform(a, lambda e: [e]), lambda acc, s: CASE WHEN len(list_filter(acc, lambda q: sqrt((q.kx - s[1].cx) * (q.kx - s[1].cx) + (q.ky - s[1].cy) * (q.ky - s[1].cy)) < s[1].r)) > 0 THEN acc ELSE list_concat(acc, s) END)) AS s FROM lists)
+"""
+
+
+@query(_READ + _KEPT.format("out_") + "SELECT drawing_id, tag, sum(s.m)::BIGINT AS n, count(*) AS spans FROM k GROUP BY ALL")
 def tag_count(spark, d):
     return tags.count_tags(_view(spark, d, SPANS), _view(spark, d, TAGS), _view(spark, d, BOXES))
 
@@ -269,7 +275,8 @@ def line_fold(spark, d):
 @query("""WITH l AS (SELECT l_orderkey, list_sort(list(l_extendedprice)) AS v FROM lineitem GROUP BY 1)
 SELECT l_orderkey, v[(len(v) // 2) + 1] AS median, v[floor(len(v) * 0.1)::INTEGER + 1] AS rank10 FROM l""")
 def upper_median(spark, d):
-    return _table(spark, d, "lineitem").groupBy("l_orderkey").agg(layout.upper_median(F.col("l_extendedprice")).alias("median"), layout.rank10(F.col("l_extendedprice")).alias("rank10"))
+    v, k = _table(spark, d, "lineitem"), ["l_orderkey"]
+    return layout.ranked_value(v, k, "l_extendedprice", layout.UPPER_MEDIAN, "median").join(layout.ranked_value(v, k, "l_extendedprice", layout.TENTH, "rank10"), k)
 
 
 @query(f"""WITH s AS ({SPANS}) SELECT drawing_id, page, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM s GROUP BY ALL""")
