@@ -2,18 +2,20 @@
 
 Winnowing picks, in each LENGTH-byte string, the GRAM-byte string of the smallest hash; equal strings pick the same. So
 only places that share an anchor can share a LENGTH-byte string, and a place's fragment (all LENGTH-byte strings that hold
-its anchor) is all that has to be compared. Fragments that are equal byte for byte are counted first: two or more are
+its anchor) is all that has to be compared. Fragments that are equal, by 128 bits of two hashes, are counted first: two or more are
 covered whole, and one of them stands for all. The different fragments of an anchor meet in one collection with those
 of other anchors. Its suffixes are sorted, and its Burrows-Wheeler transform is extended backward, breadth first:
 level l of the search marks the borders between suffixes whose common prefix is l bytes long, and the search
 stops at LENGTH, so what is left between two marks are the occurrences of one LENGTH-byte string. It starts at level
-START with all strings of that length, whose borders the sort has already shown. An anchor with more than MANY
-different fragments, which one collection should not hold, is settled by counting the hashes of its strings, spread
-over all tasks.
-
-Null text is empty. Texts are taken whole, as UTF-8 bytes; a text shorter than LENGTH keeps all. Matches never cross
-documents. Rows of the same id are the same document: they do not repeat each other, and each is returned. Rows without an id are
-returned whole. Only id and text are read.
+START with all strings of that length, whose borders the sort has already shown; the sort itself goes on to LENGTH, as the transform of
+suffixes that are sorted less far does not map back to itself. An anchor with more than MANY different fragments, which one collection
+should not hold, is replaced by two longer ones, one grown to the right and one to the left, such that each LENGTH-byte string around it holds
+one of them; their shorter fragments are counted and compared in the same way, at most until an anchor is LENGTH bytes long.
+
+Null text is empty. Texts are taken whole, as UTF-8 bytes, very long ones cut by cut; a text shorter than LENGTH keeps all. Matches never cross
+documents. Rows with equal id and text are one document: they do not repeat each other, and each is returned. Rows with equal id and
+different texts, and rows without an id, are documents of their own. An empty table gives an empty table. There are no ties: every
+place of a repeated string is removed. Only id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, byte_view, materialise, mix, semi_join, slices
+from .common import BROADCAST_ROWS, byte_view, materialise, mix, release, remove_table, semi_join, slices
 
-LENGTH, GRAM, START, MANY = 400, 64, 32, 2048
+LENGTH, GRAM, START, MANY = 400, 272, 32, 2048
 #: Bytes of fragments from which a collection is closed; with one anchor more it stays under 2^_BITS symbols.
 COLLECTION, _BITS = 500_000, 21
+#: Bytes of texts that are hashed at once.
+CUT = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(17))
 _LETTER = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _STEP = np.uint64(0x5851F42D4C957F2D)
@@ -66,35 +70,60 @@ def _sliding(x: np.ndarray, w: int, op, fill) -> np.ndarray:
     return op(tail[: n - w + 1], head[w - 1 : n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """Anchor positions, their hashes, and each fragment's begin, end and hash."""
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, first: int = 0, last: int | None = None):
+    """Positions of the anchors of all strings that begin in [first, last), the hashes of anchors and fragments, and their texts."""
     none = np.zeros(0, np.int64)
     w = length - gram + 1
     if len(data) < length or not (np.diff(offsets) >= length).any():
-        return none, none.astype(np.uint64), none, none, none.astype(np.uint64), none
+        return none, none.astype(np.uint64), none.astype(np.uint64), none
     h = Hashes(data)
     at = np.arange(len(data) - gram + 1)
     g = h.of(at, at + gram) | np.uint64(1)
     least = _sliding(g, w, np.minimum, np.uint64(0xFFFFFFFFFFFFFFFF))
     limit = np.repeat(offsets[1:], np.diff(offsets))[: len(least)]
-    least = np.where(np.arange(len(least)) + length <= limit, least, np.uint64(0))
+    at = at[: len(least)]
+    least = np.where((at + length <= limit) & (at >= first) & (at < (len(data) if last is None else last)), least, np.uint64(0))
     padded = np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)])
     p = np.flatnonzero(_sliding(padded, w, np.maximum, np.uint64(0))[: len(g)] == g)
     doc = np.searchsorted(offsets, p, side="right") - 1
     lo, hi = np.maximum(offsets[doc], p - (length - gram)), np.minimum(offsets[doc + 1], p + length)
-    return p, g[p], lo, hi, mix(h.of(lo, hi) + (p - lo).astype(np.uint64) * np.uint64(4096) + (hi - lo).astype(np.uint64)), doc
+    return p, g[p], fragment_hash(h, p, lo, hi), doc
+
+
+def fragment_hash(h: Hashes, p: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return mix(h.of(lo, hi) + (p - lo).astype(np.uint64) * np.uint64(4096) + (hi - lo).astype(np.uint64))
+
+
+def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, cut: int = CUT):
+    """anchors() without a text that is longer than `cut` in memory at once: yields positions in the data, hashes and texts."""
+    if len(data) <= cut or len(offsets) > 2:
+        yield anchors(data, offsets, length, gram)
+        return
+    done = -1
+    for a in range(0, len(data), cut):
+        lo = max(0, a - length)
+        part = data[lo : a + cut + 2 * length]
+        p, g, f, doc = anchors(part, np.array([0, len(part)]), length, gram, a - lo, a - lo + cut)
+        new = p + lo > done  # an anchor of strings on both sides of a cut is found twice
+        if new.any():
+            yield p[new] + lo, g[new], f[new], doc[new]
+            done = int(p[-1]) + lo
+
+
+ROWS = "anchor long, fragment long, id long, h long, pos int, n int, many long"
 
 
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            for part in slices(b, "text"):
-                data, offsets = byte_view(part.column(1))
-                p, g, lo, hi, f, doc = anchors(data, offsets, length, gram)
-                base = offsets[doc] if len(doc) else p
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(f.view(np.int64)), part.column(0).take(pa.array(doc)), pa.array(p - base, pa.int64()), pa.array(lo - base, pa.int64()), pa.array(hi - base, pa.int64())], ["anchor", "fragment", "doc_id", "pos", "lo", "hi"])
+            for part in slices(b, "text", CUT):
+                data, offsets = byte_view(part.column("text"))
+                for p, g, f, doc in anchors_of(data, offsets, length, gram):
+                    at = pa.array(doc)
+                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(f.view(np.int64)), part.column("id").take(at), part.column("h").take(at), pa.array(p - offsets[doc], pa.int32()), pa.array(np.diff(offsets)[doc], pa.int32()), pa.array(np.ones(len(p), np.int64))], ["anchor", "fragment", "id", "h", "pos", "n", "many"])
+        release()
 
-    return docs.mapInArrow(run, "anchor long, fragment long, doc_id long, pos long, lo long, hi long")
+    return docs.select("id", "h", "text").mapInArrow(run, ROWS)
 
 
 def sorted_rotations(s: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,19 +241,53 @@ def repeats(fragments: list[bytes], docs: np.ndarray, los: np.ndarray, length: i
     return list(zip(doc[cut].tolist(), pos[cut].tolist(), (pos[ends] + length).tolist(), strict=True))
 
 
-def _fragments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted: doc_id, anchor, pos, lo, hi, many. Adds the bytes."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "pos", "lo", "hi", "many")).alias("of"))
-    texts = semi_join(docs, wanted.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"])
+def _texts_with(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted: anchor, id, h, pos, many. The texts of these documents with the list of what is wanted of each."""
+    lists = wanted.groupBy("id", "h").agg(F.collect_list(F.struct("anchor", "pos", "many")).alias("of"))  # a list is a few times as long as its text
+    return semi_join(docs, wanted.select("id", "h").distinct(), ["id", "h"]).join(lists, ["id", "h"]).select("id", "h", "text", "of")
+
+
+def _fragments(docs: DataFrame, wanted: DataFrame, length: int, core: int) -> DataFrame:
+    """The bytes of the fragments around anchors of `core` bytes."""
 
     def run(batches):
         for b in batches:
-            for i in range(b.num_rows):  # a document's fragments are a few times its own size
-                text = (b.column(1)[i].as_py() or "").encode()
-                of = b.column(2)[i].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([x["anchor"] for x in of], pa.int64()), pa.array([b.column(0)[i].as_py()] * len(of), pa.int64()), pa.array([x["pos"] for x in of], pa.int64()), pa.array([x["lo"] for x in of], pa.int64()), pa.array([x["many"] for x in of], pa.bool_()), pa.array([text[x["lo"] : x["hi"]] for x in of], pa.binary())], ["anchor", "doc_id", "pos", "lo", "many", "bytes"])
+            for i in range(b.num_rows):
+                text, of = b.column(2)[i].as_buffer(), b.column(3)[i].values
+                raw, pos = text.to_pybytes() if text else b"", of.field("pos").to_numpy()
+                lo = np.maximum(0, pos - (length - core))
+                n = len(pos)
+                yield pa.RecordBatch.from_arrays([of.field("anchor"), pa.array(np.full(n, b.column(0)[i].as_py())), pa.array(np.full(n, b.column(1)[i].as_py())), pa.array(lo, pa.int32()), pa.array([raw[x : y + length] for x, y in zip(lo.tolist(), pos.tolist(), strict=True)], pa.binary())], ["anchor", "id", "h", "lo", "bytes"])
 
-    return texts.join(lists, "doc_id").select("doc_id", "text", "of").mapInArrow(run, "anchor long, doc_id long, pos long, lo long, many boolean, bytes binary")
+    return _texts_with(docs, wanted).mapInArrow(run, "anchor long, id long, h long, lo int, bytes binary")
+
+
+def _refined(docs: DataFrame, wanted: DataFrame, length: int, core: int) -> tuple[DataFrame, int]:
+    """Rows like those of _anchor_rows() for two longer anchors in place of each, and their length. A string of `length` bytes that
+    begins i bytes before an anchor holds the one grown to the right if i <= slack - step, the one grown to the left if i >= step."""
+    step = (length - core + 1) // 2
+    slack = length - core - step
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                text, of = b.column(2)[i].as_buffer(), b.column(3)[i].values
+                data = np.frombuffer(text or b"", np.uint8)
+                h = Hashes(data)
+                old, pos, many = (of.field(c).to_numpy() for c in ("anchor", "pos", "many"))
+                for side in (0, 1):
+                    p = pos.astype(np.int64) - side * step
+                    fits = (p >= 0) & (p + core + step <= len(data))
+                    p, was, m = p[fits], old[fits], many[fits]
+                    g = mix(h.of(p, p + core + step) + mix(was.view(np.uint64) + np.uint64(side)))  # one place has a grown anchor once
+                    f = fragment_hash(h, p, np.maximum(0, p - slack), np.minimum(len(data), p + length))
+                    k = len(p)
+                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(f.view(np.int64)), pa.array(np.full(k, b.column(0)[i].as_py())), pa.array(np.full(k, b.column(1)[i].as_py())), pa.array(p, pa.int32()), pa.array(np.full(k, len(data)), pa.int32()), pa.array(m, pa.int64())], ["anchor", "fragment", "id", "h", "pos", "n", "many"])
+
+    return _texts_with(docs, wanted).mapInArrow(run, ROWS), core + step
+
+
+SPANS = "id long, h long, a int, b int"
 
 
 def _by_transform(fragments: DataFrame, length: int) -> DataFrame:
@@ -233,66 +296,97 @@ def _by_transform(fragments: DataFrame, length: int) -> DataFrame:
         size = 0
 
         def settled():
-            found = repeats([h[2] for h in held], np.array([h[1] for h in held], np.int64), np.array([h[3] for h in held], np.int64), length)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], [], []))], ["doc_id", "a", "b"])
+            docs = list(dict.fromkeys((h[1], h[2]) for h in held))
+            number = {d: i for i, d in enumerate(docs)}
+            found = repeats([h[4] for h in held], np.array([number[h[1], h[2]] for h in held], np.int64), np.array([h[3] for h in held], np.int64), length)
+            cols = [[docs[d][0] for d, _, _ in found], [docs[d][1] for d, _, _ in found], [a for _, a, _ in found], [z for _, _, z in found]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["id", "h", "a", "b"])
 
         for b in batches:
-            for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for row in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 if size > COLLECTION and row[0] != held[-1][0]:
                     yield settled()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[2])
+                size += len(row[4])
         if held:
             yield settled()
+        held = []
+        release()
 
-    return fragments.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "doc_id", "bytes", "lo").mapInArrow(run, "doc_id long, a long, b long")
+    return fragments.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "id", "h", "lo", "bytes").mapInArrow(run, SPANS)
 
 
-def _by_counting(fragments: DataFrame, length: int) -> DataFrame:
-    """For anchors with very many fragments: the hash of each string and its place relative to the anchor are counted."""
+def _united(spans: DataFrame) -> DataFrame:
+    """Spans of one document that follow each other in a task and overlap become one, which saves most of what is shuffled next."""
 
     def run(batches):
         for b in batches:
-            for anchor, doc, pos, lo, raw in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                h, at = Hashes(np.frombuffer(raw, np.uint8)), np.arange(len(raw) - length + 1)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array([anchor] * n, pa.int64()), pa.array(pos - lo - at, pa.int64()), pa.array(h.of(at, at + length).view(np.int64)), pa.array([doc] * n, pa.int64()), pa.array(lo + at, pa.int64())], ["anchor", "rel", "hash", "doc_id", "a"])
+            if not b.num_rows:
+                continue
+            i, h, a, z = (b.column(k).to_numpy() for k in range(4))
+            order = np.lexsort((a, h, i))
+            i, h, a, z = i[order], h[order], a[order].astype(np.int64), z[order].astype(np.int64)
+            doc = np.cumsum(np.concatenate([[0], (i[1:] != i[:-1]) | (h[1:] != h[:-1])]))
+            far = np.maximum.accumulate(z + doc * (1 << 33)) - doc * (1 << 33)  # the farthest end so far in this document
+            cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (a[1:] > far[:-1])]))
+            yield pa.RecordBatch.from_arrays([pa.array(i[cut]), pa.array(h[cut]), pa.array(a[cut], pa.int32()), pa.array(far[np.append(cut[1:], len(a)) - 1], pa.int32())], ["id", "h", "a", "b"])
 
-    rows = fragments.select("anchor", "doc_id", "pos", "lo", "bytes").mapInArrow(run, "anchor long, rel long, hash long, doc_id long, a long")
-    many = rows.groupBy("anchor", "rel", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(many, ["anchor", "rel", "hash"], "left_semi").select("doc_id", "a", (F.col("a") + length).alias("b"))
+    return spans.select("id", "h", "a", "b").mapInArrow(run, SPANS)
+
+
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, and the key id, h, which is equal for rows of equal id and text only (as far as 64 bits tell texts of one id apart)."""
+    docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
+    return docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("h"))
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id and spans (begin, end in bytes, some overlapping) of every document with a repeated string."""
-    docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).where("doc_id is not null and text is not null")
-    rows = _anchor_rows(docs, length, gram)
-    rows = materialise(rows)
-    kinds = rows.groupBy("anchor", "fragment").agg(F.min(F.struct("doc_id", "pos", "lo", "hi")).alias("x"), F.max(F.struct("doc_id", "pos")).alias("y"))
-    # (a row read twice has the same document and position, so the least and the largest tell whether there are two)
-    kinds = materialise(kinds.select("anchor", "fragment", "x.*", ((F.col("x.doc_id") != F.col("y.doc_id")) | (F.col("x.pos") != F.col("y.pos"))).alias("twice")))
-    whole = rows.join(kinds.where("twice").select("anchor", "fragment"), ["anchor", "fragment"], "left_semi").select("doc_id", F.col("lo").alias("a"), F.col("hi").alias("b"))
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.bool_and("twice").alias("settled")).where("n > 1 and not settled").select("anchor", (F.col("n") > MANY).alias("many"))
-    wanted = materialise(kinds.join(several, "anchor").select("doc_id", "anchor", "pos", "lo", "hi", "many"))
-    fragments = materialise(_fragments(docs, wanted))
-    spans = whole.unionByName(_by_transform(fragments.where("not many"), length))
-    if fragments.where("many").head(1):
-        spans = spans.unionByName(_by_counting(fragments.where("many"), length))
-    return materialise(spans.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    """id, h (see _keyed) and spans (begin, end in bytes, some overlapping) of every document with a repeated string."""
+    docs = _keyed(df, id_col, text_col).where("text is not null")
+    twins = docs.groupBy("id", "h").count().where("count > 1").select("id", "h")
+    once = docs
+    if twins.head(1):
+        twins = materialise(twins)
+        once = docs.join(twins, ["id", "h"], "left_anti").unionByName(semi_join(docs, twins, ["id", "h"]).dropDuplicates(["id", "h"]))
+    rows, core, found = materialise(_anchor_rows(once, length, gram)), gram, []
+    while True:
+        lo, hi = F.greatest(F.lit(0), F.col("pos") - (length - core)).alias("a"), F.least(F.col("n"), F.col("pos") + length).alias("b")
+        # (first of all columns is of one row, as they are taken together)
+        kinds = materialise(rows.groupBy("anchor", "fragment").agg(F.sum("many").alias("many"), *[F.first(c).alias(c) for c in ("id", "h", "pos", "n")]))
+        found.append(materialise(_united(semi_join(rows, kinds.where("many > 1").select("anchor", "fragment"), ["anchor", "fragment"]).select("id", "h", lo, hi))))
+        remove_table(rows)
+        several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("many").alias("least")).where("kinds > 1 and least = 1").select("anchor", "kinds")
+        wanted = materialise(semi_join(kinds, several.select("anchor"), "anchor").join(several, "anchor").select("anchor", "id", "h", "pos", "many", "kinds"))
+        remove_table(kinds)
+        found.append(materialise(_by_transform(_fragments(docs, wanted.where(f"kinds <= {MANY}"), length, core), length)))
+        large = wanted.where(f"kinds > {MANY}")
+        if core >= length or not large.head(1):
+            remove_table(wanted)
+            break
+        rows, core = _refined(docs, large, length, core)
+        rows = materialise(rows)
+        remove_table(wanted)
+    spans = found[0]
+    for x in found[1:]:
+        spans = spans.unionByName(x)
+    out = materialise(spans.groupBy("id", "h").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+    for x in found:
+        remove_table(x)
+    return out
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes' spans of every row."""
-    docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans of every row."""
+    docs = _keyed(df, id_col, text_col)
     spans = repeated_spans(df, id_col, text_col, length)
-    ids = spans.select("doc_id")
+    ids = spans.select("id", "h")
     if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # texts without a span are not shuffled
         ids = F.broadcast(ids)
-        rest = docs.join(ids, "doc_id", "left_anti").withColumn("spans", F.lit(None).cast("array<struct<a: bigint, b: bigint>>"))
-        both = docs.join(ids, "doc_id", "left_semi").join(spans, "doc_id").unionByName(rest)
+        rest = docs.join(ids, ["id", "h"], "left_anti").withColumn("spans", F.lit(None).cast("array<struct<a: int, b: int>>"))
+        both = docs.join(ids, ["id", "h"], "left_semi").join(spans, ["id", "h"]).unionByName(rest)
     else:
-        both = docs.join(spans, "doc_id", "left")
+        both = docs.join(spans, ["id", "h"], "left")
 
     def run(batches):
         for b in batches:
