@@ -34,8 +34,11 @@ def item_counts(items: DataFrame, detections: DataFrame, keys: tuple[str, ...] =
 
 
 def merge_items(counts: DataFrame) -> DataFrame:
-    """Item counts of several drawings as one bill line per key (tag, else item_id); the first drawing's description stands."""
-    return counts.groupBy(F.coalesce("tag", "item_id").alias("key")).agg(F.sum("count").cast("long").alias("count"), F.sum("needs_review").cast("long").alias("needs_review"), F.when(F.min("source") == F.max("source"), F.min("source")).otherwise("mixed").alias("source"), F.min_by("description", "drawing_id").alias("description"), F.count("*").alias("drawings"))
+    """Item counts of several drawings as one bill line per key (tag, else item_id); the first drawing's description stands. per_page, where it is known, is
+    kept by drawing#page."""
+    order = F.struct("drawing_id", "item_seq") if "item_seq" in counts.columns else F.col("drawing_id")
+    pages = [F.map_from_entries(F.array_sort(F.flatten(F.collect_list(F.transform(F.map_entries("per_page"), lambda e: F.struct(F.concat(F.col("drawing_id").cast("string"), F.lit("#"), e["key"]).alias("key"), e["value"].alias("value"))))))).alias("per_page")] if "per_page" in counts.columns else []
+    return counts.groupBy(F.coalesce("tag", "item_id").alias("key")).agg(F.sum("count").cast("long").alias("count"), F.sum("needs_review").cast("long").alias("needs_review"), F.when(F.min("source") == F.max("source"), F.min("source")).otherwise("mixed").alias("source"), F.min_by("description", order).alias("description"), F.count("*").alias("drawings"), F.bool_or(F.col("tag").isNotNull()).alias("tagged"), *pages)
 
 
 def bill(lines: DataFrame) -> DataFrame:

@@ -16,16 +16,21 @@ def origins(length: Column, size: int = 1024, overlap: int = 160) -> Column:
     return F.when(length <= size, F.array(F.lit(0).cast("long"))).otherwise(F.array_union(F.sequence(F.lit(0).cast("long"), length - size - 1, F.lit(step).cast("long")), F.array(length - size)))
 
 
+def starts(length: int, size: int = 1024, overlap: int = 160) -> list[int]:
+    """origins() for one number."""
+    return [0] if length <= size else [*range(0, length - size, size - overlap), length - size]
+
+
 def tiles(pages: DataFrame, size: int = 1024, overlap: int = 160) -> DataFrame:
     """pages: width, height in pixels (long). One row per tile, in row-major order: px, py."""
     return pages.withColumn("py", F.explode(origins(F.col("height"), size, overlap))).withColumn("px", F.explode(origins(F.col("width"), size, overlap)))
 
 
-def detections_of(answers: DataFrame, known: DataFrame) -> DataFrame:
-    """answers: a JSON text of {d: [{t, b, c}]}. One row per detection of a known item, confidence held in 0 to 1."""
+def detections_of(answers: DataFrame, known: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """answers: a JSON text of {d: [{t, b, c}]}. One row per detection of a known item (of the same keys), confidence held in 0 to 1."""
     d = answers.withColumn("d", F.explode(F.from_json("answer", "struct<d: array<struct<t: string, b: array<double>, c: double>>>")["d"]))
     c = F.when(F.col("d.c").isNull() | F.isnan("d.c"), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("d.c"))))
-    return d.select(*answers.columns, F.col("d.t").alias("item_id"), F.col("d.b").alias("raw"), c.alias("confidence")).join(known.select("item_id").distinct(), "item_id", "left_semi")
+    return d.select(*answers.columns, F.col("d.t").alias("item_id"), F.col("d.b").alias("raw"), c.alias("confidence")).join(known.select(*(keys or []), "item_id").distinct(), [*(keys or []), "item_id"], "left_semi")
 
 
 def _overlap(a: dict, b: dict) -> float:
@@ -39,7 +44,7 @@ def merge_sightings(rows: list[dict], iou: float = 0.3, reach: float = 1.5, same
 
     Kept rows are filed in cells as wide as the farthest reach, so that only neighbours are compared.
     """
-    ordered = sorted(rows, key=lambda r: (-r["confidence"], -r["edge_margin"], r["seq"]))
+    ordered = sorted(rows, key=lambda r: (-r["confidence"], -r["edge_margin"], r["seq"], *(str(r.get(c)) for c in ("item_id", "tile", "x", "y", "w", "h"))))
     if not ordered:
         return []
     wide = max(1e-9, max(reach * (r["w"] + r["h"]) / 2 for r in ordered), max(max(r["w"], r["h"]) for r in ordered))
@@ -74,12 +79,13 @@ def merge_sightings(rows: list[dict], iou: float = 0.3, reach: float = 1.5, same
     return kept
 
 
-def dedupe(detections: DataFrame) -> DataFrame:
-    """tile detections (drawing_id, page, seq, item_id, x, y, w, h, confidence, edge_margin, tile, needs_review, review_reason) merged per page."""
+def dedupe(detections: DataFrame, drawing: str = "long", page: str = "long") -> DataFrame:
+    """drawing, page: the types of these keys. Tile detections (drawing_id, page, seq, item_id, x, y, w, h, confidence, edge_margin, tile, needs_review, review_reason) merged per page."""
     names = ["drawing_id", "page", "seq", "item_id", "x", "y", "w", "h", "confidence", "needs_review", "review_reason"]
-    kind = "drawing_id long, page long, seq long, item_id string, x double, y double, w double, h double, confidence double, needs_review boolean, review_reason string"
+    kind = f"drawing_id {drawing}, page {page}, seq long, item_id string, x double, y double, w double, h double, confidence double, needs_review boolean, review_reason string"
 
-    types = [pa.int64()] * 3 + [pa.string()] + [pa.float64()] * 5 + [pa.bool_(), pa.string()]
+    arrow = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    types = [arrow[drawing], arrow[page], pa.int64(), pa.string()] + [pa.float64()] * 5 + [pa.bool_(), pa.string()]
 
     def run(batches):
         def rows():
@@ -101,12 +107,30 @@ def dedupe(detections: DataFrame) -> DataFrame:
     return detections.repartition("drawing_id", "page").sortWithinPartitions("drawing_id", "page").mapInArrow(run, kind)
 
 
-def second_look(detections: DataFrame, answers: DataFrame) -> DataFrame:
-    """answers: id, item, confidence of a second look. Agreement lifts the confidence, a sure none drops, another sure item reclassifies."""
+def second_look(detections: DataFrame, answers: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """answers: id, item, confidence of a second look. known: the item ids there are (of each drawing); without it every item is known.
+
+    Agreement lifts the confidence and, from 0.9 on, clears a flag; none drops the detection from 0.8 on and flags it below; another known item
+    reclassifies from 0.8 on; anything else flags.
+    """
     x = detections.join(answers.select("id", "item", F.col("confidence").alias("c")), "id", "left")
+    is_known = F.lit(True)
+    if known is not None:
+        k = known.select(*[F.col(c).alias(f"k_{c}") for c in known.columns]).distinct().withColumn("k", F.lit(True))
+        same = F.col("item") == F.col("k_item_id")
+        for c in known.columns:
+            if c != "item_id":
+                same &= F.col(c) == F.col(f"k_{c}")
+        x = x.join(k, same, "left").drop(*[f"k_{c}" for c in known.columns])
+        is_known = F.col("k").isNotNull()
     agree, none = F.col("item") == F.col("item_id"), F.col("item") == "none"
-    drop = F.coalesce(none & (F.col("c") >= 0.8), F.lit(False))
-    other = ~agree & ~none & (F.col("c") >= 0.8)
-    sure = F.when(agree, F.greatest("confidence", "c")).otherwise(F.col("confidence"))
-    review = F.when(F.col("item").isNull(), F.col("needs_review")).when(agree & (sure >= 0.9), False).when(agree, F.col("needs_review")).otherwise(True)
-    return x.where(~drop).withColumns({"needs_review": review, "item_id": F.when(other, F.col("item")).otherwise(F.col("item_id")), "confidence": sure}).drop("item", "c")
+    x = x.where(~F.coalesce(none & (F.col("c") >= 0.8), F.lit(False)))
+    other = ~agree & ~none & is_known & (F.col("c") >= 0.8)
+    sure = F.when(agree, F.greatest("confidence", "c")).when(other, F.col("c")).otherwise(F.col("confidence"))
+    cleared = agree & (F.col("c") >= 0.9)
+    review = F.when(F.col("item").isNull(), F.col("needs_review")).when(cleared, False).when(agree, F.col("needs_review")).otherwise(True)
+    new = {"needs_review": review, "item_id": F.when(other, F.col("item")).otherwise(F.col("item_id")), "confidence": sure}
+    if "review_reason" in detections.columns:
+        why = F.when(none, F.format_string("second look saw no symbol (%.2f)", "c")).when(other, F.format_string("reclassified from %s on second look (%.2f)", "item_id", "c")).otherwise(F.format_string("second look said %s (%.2f)", "item", "c"))
+        new["review_reason"] = F.when(F.col("item").isNull(), F.col("review_reason")).when(cleared, F.lit(None)).when(agree, F.col("review_reason")).otherwise(why)
+    return x.withColumns(new).drop("item", "c", "k")

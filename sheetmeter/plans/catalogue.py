@@ -148,7 +148,7 @@ def item_counts_zero_fill(spark, d):
 CASE WHEN min(drawing_id % 2) = max(drawing_id % 2) THEN 'one' ELSE 'mixed' END AS source, min(description) AS description, count(*) AS drawings FROM c GROUP BY 1""")
 def merge_items(spark, d):
     c = _view(spark, d, COUNTS).withColumns({"needs_review": (F.col("drawing_id") % 2 == 0).cast("long"), "source": F.when(F.col("drawing_id") % 2 == 0, "vector").otherwise("symbol")})
-    return items.merge_items(c).withColumn("source", F.when(F.col("source") == "mixed", "mixed").otherwise("one"))
+    return items.merge_items(c).withColumn("source", F.when(F.col("source") == "mixed", "mixed").otherwise("one")).drop("tagged")
 
 
 _RANKED = """SELECT l_suppkey AS drawing_id, concat('I', l_partkey % 50) AS item_id, l_quantity AS q FROM lineitem WHERE l_linenumber {}"""
@@ -180,8 +180,8 @@ def legend_merge(spark, d):
     return items.merge_legends(_view(spark, d, _LEGEND))
 
 
-_TOTALS = f"""WITH c AS ({COUNTS}), tot AS (SELECT "set", upper(coalesce(tag, item_id)) AS key, sum(count)::BIGINT AS count, min(description) AS description FROM c GROUP BY ALL),
-tr AS ({TRUTH}), byd AS (SELECT "set", upper(description) AS d, max(key) AS k FROM tot GROUP BY ALL),
+_TOTALS = f"""WITH c AS ({COUNTS}), tot AS (SELECT "set", upper(coalesce(tag, item_id)) AS key, sum(count)::BIGINT AS count, min(description) AS description, min([lpad(drawing_id::VARCHAR, 12, '0'), item_id]) AS entered FROM c GROUP BY "set", upper(coalesce(tag, item_id))),
+tr AS ({TRUTH}), byd AS (SELECT "set", upper(description) AS d, max_by(key, entered) AS k FROM tot GROUP BY ALL),
 res AS (SELECT tr.*, coalesce(t1.key, CASE WHEN tr.description IS NOT NULL THEN b1.k END, b2.k) AS match_key FROM tr LEFT JOIN tot t1 ON t1."set" = tr."set" AND t1.key = upper(tr.key)
   LEFT JOIN byd b1 ON b1."set" = tr."set" AND b1.d = upper(regexp_replace(tr.description, '\\s+', ' ', 'g')) LEFT JOIN byd b2 ON b2."set" = tr."set" AND b2.d = upper(tr.key)),
 sc AS (SELECT res."set", res.key, truth, coalesce(tot.count, 0) AS predicted, abs(coalesce(tot.count, 0) - truth) AS abs_error, tot.count IS NOT NULL AS matched FROM res LEFT JOIN tot ON tot."set" = res."set" AND tot.key = res.match_key),
@@ -191,6 +191,9 @@ sw AS (SELECT *, CASE WHEN truth <> 0 THEN error / truth WHEN error = 0 THEN 0.0
 """
 
 
+_LINE = ["set", "key", "truth", "predicted", "abs_error", "rel_error", "within", "matched"]
+
+
 def _scored(spark, d):
     totals = scoring.engine_totals(_view(spark, d, COUNTS))
     resolved = scoring.resolve(_view(spark, d, TRUTH), totals)
@@ -199,7 +202,7 @@ def _scored(spark, d):
 
 @query(_TOTALS + 'SELECT "set", key, truth, predicted, abs_error, rel_error, within, matched FROM items')
 def score_items(spark, d):
-    return _scored(spark, d)[2]
+    return _scored(spark, d)[2].select(*_LINE)
 
 
 @query(_TOTALS + "SELECT *, weighted_error <= 0.05 + 1e-9 AS weighted_pass FROM sw")
@@ -209,7 +212,7 @@ def score_sets(spark, d):
 
 @query(_TOTALS + "SELECT count(*) AS sets, count(*) FILTER (strict_pass) AS strict, count(*) FILTER (weighted_error <= 0.05 + 1e-9) AS weighted, avg(weighted_error) AS mean_error FROM sw")
 def score_summary(spark, d):
-    return scoring.summary(scoring.score_sets(_scored(spark, d)[2]))
+    return scoring.summary(scoring.score_sets(_scored(spark, d)[2])).drop("failed")
 
 
 @query(_TOTALS + 'SELECT tot."set", tot.key, tot.count FROM tot WHERE count > 0 AND NOT EXISTS (SELECT 1 FROM res WHERE res."set" = tot."set" AND res.match_key = tot.key)')
@@ -221,13 +224,13 @@ def extras(spark, d):
 @query(_TOTALS + """SELECT "set", key, truth, predicted, abs_error, rel_error, within, matched FROM items
 QUALIFY row_number() OVER (PARTITION BY "set" ORDER BY coalesce(rel_error, CASE WHEN abs_error > 0 THEN 9.0 ELSE 0.0 END) DESC, key) = 1""")
 def worst_item(spark, d):
-    return scoring.worst_items(_scored(spark, d)[2])
+    return scoring.worst_items(_scored(spark, d)[2]).select(*_LINE)
 
 
 @query("""WITH u AS (SELECT length(text) AS a, turn AS b, conv_id % 7 AS c FROM conversations)
 SELECT count(*) AS calls, sum(a)::BIGINT AS tokens_in, sum(b)::BIGINT AS tokens_out, sum(c)::BIGINT AS tokens_thought, (sum(a)::BIGINT * 1.5 + (sum(b)::BIGINT + sum(c)::BIGINT) * 7.5)::DOUBLE / 1e6 AS cost_usd FROM u""")
 def usage_cost(spark, d):
-    return scoring.usage(_table(spark, d, "conversations").select(F.length("text").alias("tokens_in"), F.col("turn").alias("tokens_out"), (F.col("conv_id") % 7).alias("tokens_thought")))
+    return scoring.usage(_table(spark, d, "conversations").select(F.length("text").alias("tokens_in"), F.col("turn").alias("tokens_out"), (F.col("conv_id") % 7).alias("tokens_thought"))).drop("cached_calls", "model")
 
 
 @query("SELECT item_id, sha256(concat('model', text)) AS key FROM benchmark")

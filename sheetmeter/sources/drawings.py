@@ -18,7 +18,7 @@ SPANS = "drawing_id string, page int, seq long, str string, x double, y double,
 BATCH = 4096
 
 
-def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("drawing_id"), "content")
 
 
@@ -37,19 +37,35 @@ def _decoded(files: DataFrame, schema: str, rows, text: bool, paths: bool, pages
     return files.mapInArrow(run, schema)
 
 
+def read_failures(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """drawing_id and error of the files that cannot be decoded. (Files of no bytes are not seen by the file source.)"""
+
+    def run(batches):
+        for b in batches:
+            bad = []
+            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                try:
+                    pdf.decode(content.as_py() or b"")
+                except Exception as e:  # noqa: BLE001  whatever is wrong with a file is its error
+                    bad.append((name, f"{type(e).__name__}: {e}"))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in bad], pa.string()) for k in (0, 1)], ["drawing_id", "error"])
+
+    return read_files(spark, path).mapInArrow(run, "drawing_id string, error string")
+
+
 def read_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """drawing_id (the file's path), page from 1, width and height in points as seen."""
-    return _decoded(_files(spark, path), PAGES, lambda p: [{"width": p.width, "height": p.height}], False, False, None)
+    return _decoded(read_files(spark, path), PAGES, lambda p: [{"width": p.width, "height": p.height}], False, False, None)
 
 
 def read_spans(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per text run that is not blank, in the order of drawing."""
-    return _decoded(_files(spark, path), SPANS, lambda p: p.spans, True, False, None)
+    return _decoded(read_files(spark, path), SPANS, lambda p: p.spans, True, False, None)
 
 
 def read_paths(spark: SparkSession, path: str | list[str], pages: list[int] | None = None) -> DataFrame:
     """One row per filled or stroked path, curves cut into straight pieces; clipping paths are left out. pages: only these page numbers."""
-    return _decoded(_files(spark, path), PATHS, lambda p: p.paths, False, True, pages)
+    return _decoded(read_files(spark, path), PATHS, lambda p: p.paths, False, True, pages)
 
 
 def png_size(content: Column) -> Column:
