@@ -22,6 +22,8 @@ DRAWING_NO = r"\A(?:DRAWING|DRG|DWG|SHEET)\.? ?(?:NO|NUMBER|N°|#)\.? ?[:.-]? ?(
 TITLE = r"\A(?:DRAWING )?TITLE ?[:.-]? ?(.*)\z"
 LABELS = r"\A(?:PROJECT|CLIENT|DRAWING TITLE|TITLE|DRAWING NO|DWG NO|DRG NO|SCALE|REV|REVISION|STATUS|DATE|DRAWN|CHECKED|APPROVED|SHEET)\b"
 NOTES = r"\A(?:GENERAL\s+)?NOTES?\b[:.]?\z"
+ADDRESS = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}"
+KEY_SHAPES = (r"AKIA[0-9A-Z]{16}", r"gh[pousr]_[0-9A-Za-z]{36,}", r"xox[abp]-[0-9A-Za-z-]{10,}", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----")
 #: Bill sections: code, our title, and the words in a description that put it there; the first that matches counts, else G.
 SECTIONS = (
     ("A", "Luminaires and signs", "LUMINAIRE|DOWNLIGHT|LIGHT FITTING|PANEL|SPOTLIGHT|FLOODLIGHT|BATTEN|EXIT SIGN|EMERGENCY|LED|LAMP|PENDANT|STRIP LIGHT|LINEAR"),
@@ -118,6 +120,14 @@ def model_answer(response) -> Column:
     return F.when(F.length(text) > 0, text)
 
 
+def holds_address(s) -> Column:
+    return F.coalesce(F.col(s).rlike(ADDRESS), F.lit(False))
+
+
+def holds_key(s) -> Column:
+    return F.coalesce(F.col(s).rlike("|".join(KEY_SHAPES)), F.lit(False))
+
+
 def safe_name(s) -> Column:
     return F.right(F.regexp_replace(s, "[^A-Za-z0-9._-]+", "_"), F.lit(80))
 

@@ -345,3 +345,6 @@ def histogram_l1(spark, d):
     e = _table(spark, d, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
     l1 = F.aggregate(F.zip_with(F.slice("v", 1, 8), F.slice("v", 9, 8), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x)
     return e.select("vec_id", F.floor(l1 * 1000000 + 0.5).alias("l1"))
+
+
+from sheetmeter.plans import extended  # noqa: E402, F401  registers its queries here

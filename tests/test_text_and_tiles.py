@@ -54,7 +54,7 @@ def test_second_look(spark):
     d = spark.createDataFrame([(1, "A", 0.5, True), (2, "A", 0.5, False), (3, "A", 0.5, False), (4, "A", 0.5, False)], "id long, item_id string, confidence double, needs_review boolean")
     a = spark.createDataFrame([(1, "A", 0.95), (2, "none", 0.9), (3, "B", 0.9)], "id long, item string, confidence double")
     got = {r["id"]: (r["item_id"], r["confidence"], r["needs_review"]) for r in tiles.second_look(d, a).collect()}
-    assert got == {1: ("A", 0.95, False), 3: ("B", 0.5, True), 4: ("A", 0.5, False)}
+    assert got == {1: ("A", 0.95, False), 3: ("B", 0.9, True), 4: ("A", 0.5, False)}
 
 
 def test_empty_tables(spark):
