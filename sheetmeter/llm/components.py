@@ -12,7 +12,7 @@ def _mark(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links: a, b (long, undirected). Returns node, component (the smallest node reachable) for every node with a link.
 
     Nulls and self-links are left out; repeated links count once; no links give an empty table. Each round groups by
@@ -20,7 +20,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     e = materialise(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _mark(e)
-    for _ in range(rounds if before[0] else 0):
+    while before[0]:  # until a round changes nothing; their number grows with the square of the logarithm of the longest path at most
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
