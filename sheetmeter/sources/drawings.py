@@ -53,19 +53,32 @@ def read_failures(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return read_files(spark, path).mapInArrow(run, "drawing_id string, error string")
 
 
+def pages_in(files: DataFrame) -> DataFrame:
+    """files: drawing_id, content (a batch or a stream). Page from 1, width and height in points as seen."""
+    return _decoded(files, PAGES, lambda p: [{"width": p.width, "height": p.height}], False, False, None)
+
+
+def spans_in(files: DataFrame) -> DataFrame:
+    """One row per text run that is not blank, in the order of drawing."""
+    return _decoded(files, SPANS, lambda p: p.spans, True, False, None)
+
+
+def paths_in(files: DataFrame, pages: list[int] | None = None) -> DataFrame:
+    """One row per filled or stroked path, curves cut into straight pieces; clipping paths are left out. pages: only these page numbers."""
+    return _decoded(files, PATHS, lambda p: p.paths, False, True, pages)
+
+
 def read_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """drawing_id (the file's path), page from 1, width and height in points as seen."""
-    return _decoded(read_files(spark, path), PAGES, lambda p: [{"width": p.width, "height": p.height}], False, False, None)
+    """pages_in() of the files at the path; a drawing's id is its file's path."""
+    return pages_in(read_files(spark, path))
 
 
 def read_spans(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per text run that is not blank, in the order of drawing."""
-    return _decoded(read_files(spark, path), SPANS, lambda p: p.spans, True, False, None)
+    return spans_in(read_files(spark, path))
 
 
 def read_paths(spark: SparkSession, path: str | list[str], pages: list[int] | None = None) -> DataFrame:
-    """One row per filled or stroked path, curves cut into straight pieces; clipping paths are left out. pages: only these page numbers."""
-    return _decoded(read_files(spark, path), PATHS, lambda p: p.paths, False, True, pages)
+    return paths_in(read_files(spark, path), pages)
 
 
 def png_size(content: Column) -> Column:

@@ -314,3 +314,16 @@ def test_public_names():
     import sheetmeter
 
     assert len(sheetmeter.__all__) >= 41 and all(callable(getattr(sheetmeter, n)) or n.isupper() for n in sheetmeter.__all__)
+
+
+def test_arriving_drawings_are_counted(spark, folder, tmp_path):
+    from sheetmeter.streaming import arrivals
+
+    at, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    at.mkdir()
+    for name in ("set-02", "blank"):
+        data = (folder / name / "drawings" / fixtures.SETS[name][1]).read_bytes() if name in fixtures.SETS else pdf.write([(100, 100, b"")])
+        (at / f"{name}.pdf").write_bytes(data)
+        arrivals.count_arrivals(spark, str(at), out, checkpoint).awaitTermination()
+    got = {r["tag"]: (r["count"], r["batch"]) for r in spark.read.parquet(out).collect()}
+    assert got == {k: (n, 0) for k, n in TRUTH["set-02"].items()}
