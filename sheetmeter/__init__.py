@@ -10,7 +10,7 @@ __version__ = "0.2.0"
 _NAMES = {
     "engine": ["count_drawings", "counted", "merged_items", "with_signatures", "marks", "VisionPass", "Takeoff"],
     "benchmark": ["run_bench", "shared_items", "Report"],
-    "sources.drawings": ["read_spans", "read_paths", "read_pages", "read_page_images", "png_size"],
+    "sources.drawings": ["read_drawings", "read_spans", "read_paths", "read_pages", "read_page_images", "png_size"],
     "sources.sets": ["discover_sets", "read_truth"],
     "sources.fixtures": ["write_sets"],
     "operators.legends": ["read_legends", "legend_items", "read_legend_file"],

@@ -67,8 +67,8 @@ def run_bench(spark: SparkSession, folder: str, only: list[str] | None = None, m
         good = [r[0] for r in spark.createDataFrame([(f,) for f in files], "drawing_id string").join(broken, "drawing_id", "left_anti").sort("drawing_id").collect()] if broken.head(1) else files
         if not good:
             continue
-        spans, pages = written(drawings.read_spans(spark, good)), written(drawings.read_pages(spark, good))
-        paths = written(drawings.read_paths(spark, good)) if symbols else None
+        spans, pages, paths = drawings.read_drawings(spark, good)
+        paths = paths if symbols else None
         _, structure = engine.structure_of(spans, pages)
         shapes = written(sy.elements(sy.merge_hatch_bands(paths))) if symbols else None
         entries = written(engine.read_entries(spans, pages, structure, shapes))

@@ -17,7 +17,6 @@ from sheetmeter import __version__, benchmark, engine
 from sheetmeter.operators import legends, vision
 from sheetmeter.sinks import overlay, results, workbook
 from sheetmeter.sources import drawings
-from sheetmeter.tables import written
 from sheetmeter.workers import ship
 
 
@@ -68,8 +67,8 @@ def _say(o: argparse.Namespace, text: str) -> None:
 
 
 def count(spark: SparkSession, o: argparse.Namespace) -> int:
-    spans, pages = written(drawings.read_spans(spark, o.pdf)), written(drawings.read_pages(spark, o.pdf))
-    paths = written(drawings.read_paths(spark, o.pdf)) if o.symbols else None
+    spans, pages, paths = drawings.read_drawings(spark, o.pdf)
+    paths = paths if o.symbols else None
     legend = o.legend if o.legend in ("auto", "vector", "vision") else legends.read_legend_file(spark, o.legend)
     takeoff = engine.count_drawings(spans, pages, paths, legend, model_pass(spark, o), o.vision_fallback, o.cross_check)
     docs = results.result_documents(takeoff)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from sheetmeter.operators.symbols import PATHS
+from sheetmeter.operators.symbols import PATHS, SUBPATHS
+from sheetmeter.tables import written
 
 from . import pdf
 
@@ -68,6 +69,25 @@ def paths_in(files: DataFrame, pages: list[int] | None = None) -> DataFrame:
     return _decoded(files, PATHS, lambda p: p.paths, False, True, pages)
 
 
+_ROWS = "drawing_id string, page int, kind string, " + ", ".join(dict.fromkeys(c.strip() for ddl in (PAGES, SPANS) for c in ddl.split(", ")[2:])) + f", index int, subpaths {SUBPATHS}, fill boolean, stroke boolean, line_width double"
+
+
+def _all_rows(page: pdf.Page) -> list[dict]:
+    named = lambda kind, rows: [{"kind": kind} | r for r in rows]
+    return named("page", [{"width": page.width, "height": page.height}]) + named("span", page.spans) + named("path", page.paths)
+
+
+def drawings_in(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Spans, pages and paths of files (drawing_id, content), decoded once into a table of which the three are parts."""
+    rows = written(_decoded(files, _ROWS, _all_rows, True, True, None))
+    part = lambda kind, ddl: rows.where(F.col("kind") == kind).select(*StructType.fromDDL(ddl).names)
+    return part("span", SPANS), part("page", PAGES), part("path", PATHS)
+
+
+def read_drawings(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return drawings_in(read_files(spark, path))
+
+
 def read_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """pages_in() of the files at the path; a drawing's id is its file's path."""
     return pages_in(read_files(spark, path))

@@ -10,7 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sheetmeter import engine
 from sheetmeter.sources import drawings
-from sheetmeter.tables import removed, written
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -33,9 +32,7 @@ def count_arrivals(spark: SparkSession, folder: str, out: str, checkpoint: str,
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        files = written(batch)
-        t = count(*(written(f(files)) for f in (drawings.spans_in, drawings.pages_in, drawings.paths_in)))
+        t = count(*drawings.drawings_in(batch))
         t.counts.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
-        removed(files)
 
     return arriving_files(spark, folder, per_batch).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
