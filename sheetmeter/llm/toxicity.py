@@ -4,14 +4,14 @@ Training counts, per word and per four-letter word beginning, the toxic and clea
 log-odds are smoothed by a Dirichlet prior at the class sizes, a word's by one at its beginning's odds; entries whose
 log-odds are under Z standard errors away from 0 weigh nothing. A text is the sequence of its words' log-odds, less a
 drift; the linear-time algorithm of Ruzzo and Tompa finds all maximal-scoring segments. A segment of score S in
-n words has the extreme-value p-value 1 - exp(-K n exp(-S)); K is fitted by maximum likelihood on clean documents.
+n words has the extreme-value p-value 1 - exp(-K n exp(-S)); K is fitted by maximum likelihood on the best segments of clean documents.
 Significant segments are aggregated to -sum(log10 p), and a logistic curve fitted on training documents turns that into
 the score.
 
 Null and empty texts have no segment and get the curve's value at 0. Texts are scored whole, in linear time;
 repeated rows one by one; without labels, or with one class only, every score is the share of toxic labels (0 without any). A
-document labelled more than once counts as toxic if any label says so. Only id and text columns are read, so
-others cannot clash.
+document labelled more than once counts as toxic if any label says so; of entries with equal scores all are kept, and of equal segments each
+counts. An empty table gives an empty table. Only id and text columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod
 
-#: Bounds: labelled documents to learn from (drawn by a hash of the id beyond it), and entries kept (those of the largest |z|).
-TRAIN_DOCS, ENTRIES = 200_000, 200_000
+#: Labelled documents to learn from (drawn by a hash of the id beyond it). The entries that weigh are of these documents, so their number is bounded too.
+TRAIN_DOCS = 200_000
 #: Pseudo-documents of the priors, z from which an entry counts, score lost per ordinary word, p-value of significance.
 PRIOR_BEGIN, PRIOR_WORD, Z, DRIFT, SIGNIFICANT = 2.0, 4.0, 2.5, 0.02, 0.05
 BEGIN = 4
@@ -145,36 +145,34 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = TRAIN_DOCS) -> Mo
     w = w.withColumn("t", F.col("toxic") + PRIOR_WORD * F.col("q")).withColumn("c", F.col("clean") + PRIOR_WORD * (1 - F.col("q")))
     w = w.withColumn("s", logit(F.col("t") / (F.col("t") + F.col("c")))).select("entry", "s", z(F.col("s"), F.col("t"), F.col("c")).alias("z"))
     # words that weigh nothing are kept at 0 if their beginning weighs, lest the beginning speak for them
-    rows = b.unionByName(w).where(f"z >= {Z} and abs(s) >= 0.5").orderBy(F.desc("z"), "entry").limit(ENTRIES).collect()
+    rows = b.unionByName(w).where(f"z >= {Z} and abs(s) >= 0.5").collect()
     model = Model({r[0]: float(r[1]) for r in rows}, pi)
     _calibrate(model, labelled)
     return model
 
 
 def _calibrate(model: Model, labelled: DataFrame) -> None:
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
+    """Fits K on the best segments of clean documents, then the curve on the evidence of all labelled ones."""
+    spark = labelled.sparkSession
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches):
+    def best(batches):
         for b in batches:
-            rows = []
-            for text in b.column(0).to_pylist():
-                n, found = shared.value.segments(text or "")
-                top = sorted((round(s, 6) for _, _, s in found), reverse=True)
-                rows.append((n, top[:64]))
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.list_(pa.float64())), b.column(1)], ["n", "top", "toxic"])
-
-    # one short row per training document, at most TRAIN_DOCS of them; equal rows are counted first
-    rows = labelled.select("text", "toxic").mapInArrow(run, "n long, top array<double>, toxic int").groupBy("n", "top", "toxic").count().collect()
-    clean = [(r["n"], max(r["top"], default=0.0), r["count"]) for r in rows if r["toxic"] == 0 and r["n"]]
-    mass = sum(n * math.exp(-s) * c for n, s, c in clean)
-    model.k = max(1e-9, min(1.0, sum(c for _, _, c in clean) / mass)) if mass else 1.0
-    x, y, v = [], [], []
-    for r in rows:
-        e = 0.0
-        for s in r["top"]:
-            p = -math.expm1(-model.k * r["n"] * math.exp(-s))
-            e -= math.log10(max(p, 1e-300)) if p < SIGNIFICANT else 0.0
-        x.append(math.log1p(e)), y.append(r["toxic"]), v.append(r["count"])
+            found = [shared.value.segments(t or "") for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([max((s for _, _, s in k), default=0.0) for _, k in found], pa.float64())], ["n", "s"])
+
+    clean = labelled.where("toxic = 0").select("text").mapInArrow(best, "n long, s double").where("n > 0")
+    count, mass = clean.agg(F.count("*"), F.sum(F.col("n") * F.exp(-F.col("s")))).first()
+    model.k = max(1e-9, min(1.0, count / mass)) if mass else 1.0
+    again = spark.sparkContext.broadcast(model)
+
+    def evidence(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([round(math.log1p(again.value.evidence(t)[0]), 6) for t in b.column(0).to_pylist()], pa.float64()), b.column(1)], ["x", "toxic"])
+
+    # two numbers for each training document, of which there are TRAIN_DOCS at most; equal ones are counted first
+    rows = labelled.select("text", "toxic").mapInArrow(evidence, "x double, toxic int").groupBy("x", "toxic").count().collect()
+    x, y, v = [r["x"] for r in rows], [r["toxic"] for r in rows], [r["count"] for r in rows]
     x, y, v = (np.array(a, float) for a in (x, y, v))
     a, b = math.log(model.base / (1 - model.base)), 0.5
     for _ in range(50):  # Newton steps with a weak ridge
@@ -191,7 +189,7 @@ def _calibrate(model: Model, labelled: DataFrame) -> None:
 
 def score_texts(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score and the significant segments (in words) of every row."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # at most ENTRIES weights
+    shared = df.sparkSession.sparkContext.broadcast(model)  # the weights of TRAIN_DOCS documents' words
 
     def run(batches):
         m = shared.value
