@@ -2,15 +2,17 @@
 
 The page becomes a tree. Boilerplate elements go by their tag or role. They go by a class or id word, too, unless another
 one names content or the element holds most of the page's text outside links (beside an article or main element that has text of its own it
-goes all the same). Every paragraph-like block
+goes all the same). A header that names an article's or stands in an article is none, and a word that is bad in part only, such as social-history, marks
+no element with sentences outside links. Every paragraph-like block
 passes points for its length and its commas to its ancestors, the nearest most, and a container's points are discounted by
 the share of its text that stands in links. The best container is kept, or the outermost article or main element around it, then
 each parent whose other children are no boilerplate, and of the next parent the children that are none: neither
-marked nor, as blocks or runs of loose text, mostly links. Their text is the result: character references decoded, white space inside a
+marked nor, as blocks or runs of loose text, mostly links. Their text is the result: character references decoded run by run, white space inside a
 block turned into one space, blocks joined in page order by one space.
 
 Null or empty html, and pages without text outside elements that go by tag or role, give empty text. Broken markup (tags left open, cut tags or references) is
-read as far as it goes; very long pages are read whole and in linear time. Repeated rows are extracted one by one. Only
+read as far as it goes; very long pages are read whole and in linear time. Repeated rows are extracted one by one; an empty table gives an
+empty table. Of containers with equal points the first one is the best. Only
 the id, url and html columns are read, so other columns cannot clash.
 """
 
@@ -36,40 +38,54 @@ CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"d
 ENDS_P = BLOCKS - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
 BAD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|masthead|sidebars?|side|widget\w*|menus?|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|foot|header|topbar|comments?|commentlist|disqus\w*|replies|respond|cookies?|consent|notices?|gdpr|popup|modal|overlay|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|skip|tags|toolbar|copyright|legal|disclaimer|hidden)(?:$|[\s_-])", re.I)
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text|blog|hentry)(?:$|[\s_-])", re.I)
+#: What a bad word may stand beside in one class name and still be a mark; and the words that name an article.
+CHROME = frozenset("area articles bar block body box btn button buttons col column container content counter data desktop entries fixed form full grid group heading holder icon icons image img inline inner item items label large layer layout left line link links list main media mobile module number outer page pane panel posts product products reading region right row section site slot small sticky stories teaser teasers text title toggle top bottom unit widget wrap wrapper".split())
+ARTICLE = frozenset("article entry post story hentry".split())
+_SPLIT = re.compile(r"[\s_-]+")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/><]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/><]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "words", "bad", "weak", "good", "chars", "links", "commas", "points")
+    __slots__ = ("tag", "up", "kids", "bad", "weak", "good", "doubt", "within", "chars", "links", "commas", "points")
 
     def __init__(self, tag: str, up: Node | None, attrs: str = ""):
         self.tag, self.up, self.kids = tag, up, []
         self.chars = self.links = self.commas = 0
-        self.points, self.bad, self.weak, self.good = 0.0, tag in DROPPED, False, False
+        self.points, self.bad, self.weak, self.good, self.doubt = 0.0, tag in DROPPED, False, False, False
+        self.within = up is not None and (up.within or up.tag in ("article", "main"))
         if attrs:
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
             words = f"{found.get('class', '')} {found.get('id', '')}"
             self.good = bool(GOOD.search(words))
             self.bad |= found.get("role", "").lower() in ROLES or found.get("aria-hidden", "").lower() == "true" or "hidden" in found
             marks = [w for w in words.split() if BAD.search(w)] if tag not in ("html", "body", "article", "main") else []
-            self.weak = any(not BESIDE.match(w) for w in marks) and not any(GOOD.search(w) for w in words.split() if w not in marks)
-        if tag == "header" and not self.inside({"article", "main"}):
+            parts = [p for p in ({x for x in _SPLIT.split(w.lower()) if x} for w in marks if not BESIDE.match(w)) if not ("header" in p and (self.within or p & ARTICLE))]
+            self.weak = bool(parts) and not any(GOOD.search(w) for w in words.split() if w not in marks)
+            self.doubt = all(any(not BAD.search(x) and not x.isdigit() and x not in CHROME and x not in ARTICLE for x in p) for p in parts)
+        if tag == "header" and not self.within:
             self.bad = True
 
-    def inside(self, tags: set[str]) -> bool:
-        node = self.up
-        while node is not None:
-            if node.tag in tags:
-                return True
-            node = node.up
-        return False
+    def prose(self) -> bool:
+        """Whether there are sentences, mostly outside links."""
+        return 3 * self.links <= self.chars and (self.commas > 0 or self.chars >= 80)
 
 
 def parse(html: str) -> Node:
     root = node = Node("html", None)
     at, end = 0, len(html)
+    # how many elements of a name are open, so that no search for one walks up in vain
+    count: dict[str, int] = {"html": 1}
+
+    def leave(to: Node) -> Node:
+        """Closes all elements below `to`, which becomes the open one."""
+        x = node
+        while x is not to:
+            count[x.tag] -= 1
+            x = x.up
+        return to
+
     while at < end:
         m = _TOKEN.search(html, at)
         if m is None:
@@ -83,28 +99,29 @@ def parse(html: str) -> Node:
             continue
         tag, closing = name.lower(), bool(m[1] or m[4])
         if closing:
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.up
-            if up is not None and up.up is not None:
-                node = up.up
+            if count.get(tag):
+                up = node
+                while up.tag != tag:
+                    up = up.up
+                if up.up is not None:
+                    node = leave(up.up)
             continue
         if tag in ("html", "body") and node.up is None and tag == "html":
             continue
-        if tag in ENDS_P or tag == "p":
+        if (tag in ENDS_P or tag == "p") and count.get("p"):
             up = node
             while up is not None and up.tag not in ("p", "td", "li", "div", "article", "section", "main", "body", "html", "blockquote", "button"):
                 up = up.up
             if up is not None and up.tag == "p":
-                node = up.up
-        if tag in CLOSES:
+                node = leave(up.up)
+        if tag in CLOSES and any(count.get(x) for x in CLOSES[tag][0]):
             shut, bound = CLOSES[tag]
-            up, to = node, None
-            while up is not None and up.tag not in bound:
+            up, to, left = node, None, sum(count.get(x, 0) for x in shut)
+            while left and up.tag not in bound:  # past the last open one there is nothing to close
                 if up.tag in shut:
-                    to = up.up
+                    to, left = up.up, left - 1
                 up = up.up
-            node = to or node
+            node = leave(to) if to is not None else node
         child = Node(tag, node, m[3] or m[6] or "")
         node.kids.append(child)
         if tag in RAW:
@@ -112,6 +129,7 @@ def parse(html: str) -> Node:
             at = close.end() if close else end
         elif tag not in VOID and not (m[3] or m[6] or "").endswith("/"):
             node = child
+            count[tag] = count.get(tag, 0) + 1
     return root
 
 
@@ -157,7 +175,7 @@ def _drop_marked(nodes: list[Node]) -> bool:
     weak = [node for node in nodes if node.weak]
     for node in weak:
         most = 2 * plain(node) > plain(nodes[0])
-        node.bad = not most or body[id(nodes[0])] > body[id(node)] and not node.inside({"article", "main"})
+        node.bad = not (node.doubt and node.prose()) and (not most or body[id(nodes[0])] > body[id(node)] and not node.within)
     return any(node.bad for node in weak)
 
 
@@ -218,14 +236,14 @@ def extract(html: str | None) -> str:
     while todo:
         x = todo.pop()
         if isinstance(x, str):
-            parts.append(x)
+            parts.append(unescape(x))
         elif x.tag in BLOCKS:
             parts.append("\n")
             todo.append("\n")
             todo += [k for k in reversed(x.kids) if isinstance(k, str) or not k.bad]
         else:
             todo += [k for k in reversed(x.kids) if isinstance(k, str) or not k.bad]
-    return " ".join(unescape("".join(parts)).split())
+    return " ".join("".join(parts).split())
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
