@@ -290,7 +290,9 @@ def _refined(docs: DataFrame, wanted: DataFrame, length: int, core: int) -> tupl
 SPANS = "id long, h long, a int, b int"
 
 
-def _by_transform(fragments: DataFrame, length: int) -> DataFrame:
+def _by_transform(fragments: DataFrame, length: int, rows: int) -> DataFrame:
+    """rows: the number of fragments. Their bytes set the number of tasks, as they are work, not size: a few MB keep a core busy for seconds."""
+
     def run(batches):
         held: list = []
         size = 0
@@ -314,7 +316,8 @@ def _by_transform(fragments: DataFrame, length: int) -> DataFrame:
         held = []
         release()
 
-    return fragments.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "id", "h", "lo", "bytes").mapInArrow(run, SPANS)
+    tasks = 1 + rows * 2 * length // (8 * COLLECTION)
+    return fragments.repartition(tasks, "anchor").sortWithinPartitions("anchor").select("anchor", "id", "h", "lo", "bytes").mapInArrow(run, SPANS)
 
 
 def _united(spans: DataFrame) -> DataFrame:
@@ -359,7 +362,8 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("many").alias("least")).where("kinds > 1 and least = 1").select("anchor", "kinds")
         wanted = materialise(semi_join(kinds, several.select("anchor"), "anchor").join(several, "anchor").select("anchor", "id", "h", "pos", "many", "kinds"))
         remove_table(kinds)
-        found.append(materialise(_by_transform(_fragments(docs, wanted.where(f"kinds <= {MANY}"), length, core), length)))
+        few = wanted.where(f"kinds <= {MANY}")
+        found.append(materialise(_by_transform(_fragments(docs, few, length, core), length, few.count())))
         large = wanted.where(f"kinds > {MANY}")
         if core >= length or not large.head(1):
             remove_table(wanted)
