@@ -17,8 +17,8 @@ n_windows and n_slots then count merged words; first_word is a place in the docu
 
 Items with fewer words than a window are one window of their own length. Null or empty texts, and texts without words, match nothing.
 Texts are taken whole. Per document and item the alignment with the most windows is returned (ties: the one earliest in the
-document). Rows of equal id and text give one result; items of equal id are told apart by text. Only id and text are
-read, so other columns cannot clash.
+document). Rows of equal id and text give one result, as do rows without an id; items of equal id are told apart by text. Empty tables give
+an empty result. Only id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS
+from .common import BROADCAST_ROWS, materialise
 
 WINDOW, COVERAGE = 8, 0.5
 #: Words that are units when they follow a number.
@@ -77,7 +77,7 @@ def _exact(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     """The leaks whose windows meet at one shift."""
     b = items.select(items[item_col].cast("long").alias("item_id"), items[item_text].cast("string").alias("body")).distinct()
     b = _once(_once(_once(b, "w", words(F.col("body"))), "t", _templates("w")), "h", F.transform("t", lambda x: F.xxhash64(x)))
-    b = b.where(F.size("h") > 0)
+    b = b.where(F.size("h") > 0).withColumn("body", F.xxhash64("body"))  # a number stands for an item's text from here on
     lengths = sorted(r[0] for r in b.select(F.least(F.size("h"), F.lit(window))).distinct().collect())  # at most `window` values
     d = docs.select(docs[id_col].cast("long").alias("doc_id"), F.explode(F.array(words(docs[text_col].cast("string")))).alias("w"))
     d = _once(d, "h", F.transform("w", lambda x, i: F.xxhash64(template(x, F.get(F.col("w"), i - 1)))))
@@ -149,7 +149,7 @@ def _values(length: int) -> F.Column:
 
 def _banded(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int, coverage: float) -> DataFrame:
     """The leaks whose windows meet within a band of shifts."""
-    b = _merged(items.select(items[item_col].cast("long").alias("item_id"), items[item_text].cast("string").alias("body")).distinct(), "body")
+    b = _merged(items.select(items[item_col].cast("long").alias("item_id"), items[item_text].cast("string").alias("body")).distinct(), "body").withColumn("body", F.xxhash64("body"))
     lengths = sorted(r[0] for r in b.select(F.least(F.size("h"), F.lit(window))).distinct().collect())
     d = _merged(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("body")), "body").drop("body", "all", "t")
     met = None
@@ -193,7 +193,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs in which no item leaks; rows without an id stay."""
-    bad = leaks(docs, items, id_col).select(F.col("doc_id").alias("__bad")).distinct()
+    bad = materialise(leaks(docs, items, id_col).select(F.col("doc_id").alias("__bad")).distinct())  # counted and joined, but found once
     bad = F.broadcast(bad) if bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else bad
     return docs.join(bad, docs[id_col] == bad["__bad"], "left_anti")
 
