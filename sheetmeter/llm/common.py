@@ -2,76 +2,25 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheetmeter.tables import removed as remove_table  # noqa: F401  for the operators
+from sheetmeter.tables import written
+
 #: Rows up to which a table of ids or short keys is broadcast (about 16 bytes a row); beyond it a shuffle join runs.
 BROADCAST_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sheetmeter-")
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        _own.setdefault("dir", found)
-        return _own["dir"]
-    return found
-
-
-_own: dict[str, str] = {}
-
-
 def materialise(df: DataFrame, *keys: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors.
-
-    The folder is removed when the driver's interpreter ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/sheetmeter-{uuid.uuid4().hex}"
-    with freed_shuffles(spark):
-        (df.repartition(*keys) if keys else df).write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextlib.contextmanager
-def freed_shuffles(spark: SparkSession):
-    """What is written inside removes its shuffle files when it ends, not when the driver collects its garbage; a plan
-    that reads them again would compute them anew."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    try:
-        spark.conf.set(name, "true")
-        yield
-    finally:
-        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
-
-
-def remove_table(df_path_owner: DataFrame) -> None:
-    """Deletes the files of a table that materialise() wrote, once nothing reads it any more."""
-    spark = df_path_owner.sparkSession
-    for f in {p.rpartition("/")[0] for p in df_path_owner.inputFiles()}:
-        if "/sheetmeter-" in f:
-            _remove(spark, f)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may be gone already
-        pass
+    """df as a table in the shared folder, read back: cuts lineage, survives lost executors."""
+    return written(df.repartition(*keys) if keys else df)
 
 
 def semi_join(df: DataFrame, ids: DataFrame, key: str | list[str], most: int = BROADCAST_ROWS) -> DataFrame:
@@ -94,7 +43,7 @@ def byte_view(col) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20):
     """Cuts a batch into runs of rows whose texts hold about most_bytes; one longer text makes a run of its own."""
-    _, offsets = byte_view(batch.column(column))
+    _, offsets = byte_view(batch.column(batch.schema.get_field_index(column)))
     at = 0
     while at < len(offsets) - 1:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most_bytes, side="right")) - 1)
@@ -102,6 +51,21 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20):
         at = to
 
 
+#: Rows and bytes of the batches that texts are handed to Python workers in: texts are long rows, and a batch is in memory several times.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def texts_of(df: DataFrame) -> DataFrame:
+    """df, for a step that hands texts to Python workers. Holds the session's Arrow batches to BATCH_ROWS and BATCH_BYTES; smaller settings and such
+    with a unit stand."""
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(name).removesuffix("b")
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:
+            conf.set(name, str(most))
+    return df
+
+
 def release() -> None:
     """Gives freed memory of this worker back to the system, as workers live on between stages."""
     pa.default_memory_pool().release_unused()

@@ -3,13 +3,14 @@
 Each language has a tree of byte contexts up to `order` bytes long. In a context seen n times with q different
 successors, a successor seen c times costs -log2(c / (n + q)) bits and an escape to the next shorter context
 -log2(q / (n + q)); a context that was never seen is passed at no cost; below order 0 a byte costs 8 bits. The
-statistics do not change while scoring, so the code length of a text is an exact sum, here looked up in one dense
-table over the byte classes of the training text (ASCII letters without case, all other ASCII as one), and the language with the shortest code wins (ties: the first by name).
+statistics do not change while scoring, so the code length of a text is an exact sum. The tree is kept as sorted strings, one list for each depth;
+the different strings of order + 1 bytes of a block are looked up once in each, longest first. ASCII letters are taken without case and all other
+ASCII bytes as spaces. The language with the shortest code wins (ties: the first by name).
 The score is that language's share when each language weighs 2^-bits.
 
 Null text, empty text and text without a letter give `und` with score 0. Texts are scored whole, in blocks, so that
 memory does not grow with their length. Rows are scored one by one, repeated ones too; columns besides id and text are
-not read. Without any training row every text is `und`.
+not read. An empty table gives an empty table. Without any training row every text is `und`.
 """
 
 from __future__ import annotations
@@ -21,87 +22,108 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, crc_mod, slices
+from .common import byte_view, crc_mod, release, slices, texts_of
 
 #: Bounds of the training sample: documents and bytes a language (whole documents only; a language without one that fits
 #: learns from the first bytes of one). Every language is learned.
 TRAIN_DOCS, TRAIN_BYTES = 300, 1_500_000
-ORDER = 2
+#: Bytes of context; a string of context and successor has to fit into a 64-bit number.
+ORDER = 4
+#: Numbers of a block's table of costs (different strings and languages) that are worked out at once.
+BLOCK = 1 << 18
 _LETTER = re.compile(r"[^\W\d_]")
+# case and all ASCII besides letters carry no language; 0 stands for what is before a text
+_FOLD = np.arange(256, dtype=np.uint64)
+_FOLD[:128] = [c if 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(128)]
+
+
+def strings(data: np.ndarray, offsets: np.ndarray, order: int, at: int = 0, to: int | None = None) -> np.ndarray:
+    """For each of the bytes at to `to` the number that it makes with the `order` bytes before it in its text, oldest first."""
+    to = len(data) if to is None else to
+    back = max(0, at - order)
+    folded = _FOLD[data[back:to]]
+    start = np.repeat(offsets[:-1], np.diff(offsets))[at:to]
+    place = np.arange(at, to)
+    out = np.zeros(to - at, np.uint64)
+    for j in range(order, -1, -1):
+        before = place - j
+        out = (out << np.uint64(8)) | np.where(before >= start, folded[np.maximum(before - back, 0)], np.uint64(0))
+    return out
+
+
+class Tree:
+    """One language: per depth m the strings of m + 1 bytes that were seen, sorted, with their bits, and the contexts of m bytes with the bits of
+    an escape."""
+
+    def __init__(self, texts: list[bytes], order: int):
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        seen, count = np.unique(strings(data, offsets, order), return_counts=True)
+        self.seen, self.bits, self.contexts, self.escape = [], [], [], []
+        for m in range(order, -1, -1):
+            contexts, at = np.unique(seen >> np.uint64(8), return_inverse=True)
+            n, q = np.bincount(at, count, len(contexts)), np.bincount(at, minlength=len(contexts))
+            self.seen.append(seen)
+            self.bits.append((-np.log2(count / (n + q)[at])).astype(np.float32) if len(seen) else np.zeros(0, np.float32))
+            self.contexts.append(contexts)
+            self.escape.append((-np.log2(q / (n + q))).astype(np.float32) if len(seen) else np.zeros(0, np.float32))
+            if m:  # without the oldest byte
+                seen, at = np.unique(seen & np.uint64((1 << 8 * m) - 1), return_inverse=True)
+                count = np.bincount(at, count, len(seen)).astype(np.int64)
+
+    def cost(self, keys: np.ndarray) -> np.ndarray:
+        """Bits of each string of order + 1 bytes: escapes down to the longest context in which its last byte was seen."""
+        out, todo = np.zeros(len(keys)), np.arange(len(keys))
+        order = len(self.seen) - 1
+        for level in range(order + 1):
+            if not len(todo):
+                break
+            k = keys[todo] & np.uint64((1 << 8 * (order - level + 1)) - 1)
+            hit, at = _found(self.seen[level], k)
+            out[todo[hit]] += self.bits[level][at[hit]]
+            todo, k = todo[~hit], k[~hit]
+            known, at = _found(self.contexts[level], k >> np.uint64(8))
+            out[todo[known]] += self.escape[level][at[known]]
+        out[todo] += 8
+        return out
 
 
-class Model:
-    """The dense cost table: bits[context class ..., byte class, language]."""
+def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(table):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    at = np.searchsorted(table, keys)
+    at[at == len(table)] = 0
+    return table[at] == keys, at
 
+
+class Model:
     def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER):
+        if order > 7:
+            raise ValueError("a context has seven bytes at most")
         self.langs, self.order = sorted(texts), order
-        seen = np.zeros(256, bool)
-        for ts in texts.values():
-            for t in ts:
-                seen[np.frombuffer(t, np.uint8)] = True
-        fold = np.arange(256)  # case and all ASCII besides letters carry no language: one class for each letter, one for the rest
-        fold[: 128] = [c if 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(128)]
-        kept = np.unique(fold[seen])
-        self.classes = np.zeros(256, np.int32)  # class 0: never seen, and what stands before a text
-        at = np.minimum(np.searchsorted(kept, fold), max(0, len(kept) - 1))
-        if len(kept):
-            self.classes = np.where(kept[at] == fold, at + 1, 0).astype(np.int32)
-        a = self.a = len(kept) + 1
-        self.bits = np.zeros((a ** (order + 1), len(self.langs)), np.float32)
-        for k, lang in enumerate(self.langs):
-            self.bits[:, k] = self._language(texts[lang], a)
-
-    def _language(self, texts: list[bytes], a: int) -> np.ndarray:
-        cost = np.full(a, 8.0)  # order -1, for each byte class
-        for m in range(self.order + 1):
-            counts = np.zeros(a ** (m + 1), np.int64)
-            for t in texts:
-                if t:
-                    counts += np.bincount(self.index(self.classes[np.frombuffer(t, np.uint8)], m), minlength=a ** (m + 1))
-            counts = counts.reshape(-1, a)
-            n, q = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-            below = np.tile(cost.reshape(-1, a), (counts.shape[0] * a // cost.size, 1))  # the shorter context drops the oldest byte
-            with np.errstate(divide="ignore", invalid="ignore"):
-                cost = np.where(counts > 0, -np.log2(counts / (n + q)), below + np.where(n > 0, -np.log2(q / np.maximum(n + q, 1)), 0.0)).ravel()
-        return cost
-
-    def index(self, classes: np.ndarray, m: int, before: tuple[int, ...] = ()) -> np.ndarray:
-        """For each byte its row in a table of order m: the m classes before it, oldest first, and its own."""
-        padded = np.concatenate([np.zeros(max(0, m - len(before)), np.int32), np.array(before[len(before) - m :] if m else (), np.int32), classes])
-        out = np.zeros(len(classes), np.int32)
-        for j in range(m + 1):
-            out = out * self.a + padded[j : j + len(classes)]
-        return out
+        self.trees = [Tree(texts[lang], order) for lang in self.langs]
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray, block: int = 1 << 19) -> np.ndarray:
         """Bits of each text under each language."""
         out = np.zeros((len(offsets) - 1, len(self.langs)))
+        block = max(1, min(block, (BLOCK * 8) // max(1, len(self.langs))))
         for at in range(0, len(data), block):
             to = min(len(data), at + block)
-            back = max(0, at - self.order)
-            classes = self.classes[data[back:to]]
-            rows = np.zeros(to - at, np.int32)
-            docs = np.searchsorted(offsets, [at, to - 1], side="right") - 1
-            first = offsets[docs[0] : docs[1] + 1]
-            first = first[(first >= back) & (first < to)]
-            for j in range(self.order, -1, -1):  # j bytes before
-                lo = at - back - j
-                part = classes[max(0, lo) : len(classes) - j if j else None]
-                if lo < 0:
-                    part = np.concatenate([np.zeros(-lo, np.int32), part])
-                part = part.copy()
-                for s in range(j):  # the byte s of a text has none that stands j > s before it
-                    x = first + s - at
-                    x = x[(x >= 0) & (x < to - at)]
-                    part[x] = 0
-                rows = rows * self.a + part
-            starts = np.unique(np.clip(first - at, 0, None))
-            if not len(starts) or starts[0] != 0:
-                starts = np.concatenate([[0], starts])
-            owner = np.searchsorted(offsets, starts + at, side="right") - 1
-            np.add.at(out, owner, np.add.reduceat(self.bits[rows], starts, axis=0, dtype=np.float64))
+            first, last = np.searchsorted(offsets, [at, to - 1], side="right") - 1
+            own = np.clip(offsets[first : last + 2], at, to)  # the texts of this block
+            keys, back = np.unique(self._strings(data, offsets, first, last, at, to), return_inverse=True)
+            starts = own[:-1][np.diff(own) > 0] - at
+            owner = np.arange(first, last + 1)[np.diff(own) > 0]
+            for k, tree in enumerate(self.trees):
+                out[owner, k] += np.add.reduceat(tree.cost(keys)[back], starts)
         return out
 
+    def _strings(self, data, offsets, first, last, at, to):
+        lo = max(int(offsets[first]), at - self.order)
+        own = np.clip(offsets[first : last + 2], lo, to) - lo
+        # where the first text began before lo, all bytes that its contexts need are there
+        return strings(data[lo:to], own, self.order, at - lo, to - lo)
+
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, docs: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> Model:
     """Fits on a sample of at most `docs` documents and `most_bytes` bytes a language, drawn by a hash of the id."""
@@ -110,11 +132,13 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not sizes:
         return Model({}, order)
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, docs / n))])
-    drawn = known.where(F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
+    # drawn by a hash of id and text: a row that is repeated is drawn or not with all its copies, and then learnt from once
+    drawn = known.where(F.pmod(F.xxhash64("id", "text", F.lit("langid")), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000).dropDuplicates(["lang", "id", "text"])
     texts: dict[str, list[bytes]] = {k: [] for k in sizes}
     room, cut = dict.fromkeys(sizes, most_bytes), {}
-    # expected size: `docs` documents a language; limit() holds the bound whatever the hash does
-    for r in drawn.select("lang", "text", "id").limit(2 * docs * len(sizes)).sort("lang", F.xxhash64("id"), "id", "text").collect():
+    # about `docs` documents a language; the order and the bound (twice that over all) are those of the hash, not of partitions
+    place = [F.xxhash64("id", "text"), "id", "text", "lang"]
+    for r in drawn.select("lang", "text", "id").sort(*place).limit(2 * docs * len(sizes)).collect():
         t = r[1].encode()
         if len(t) <= room[r[0]] and len(texts[r[0]]) < docs:
             texts[r[0]].append(t)
@@ -127,28 +151,46 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(texts, order)
 
 
+def _predicted(m: Model, texts) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and bits a byte of each text."""
+    data, offsets = byte_view(texts)
+    letters = np.array([bool(t and _LETTER.search(t)) for t in texts.to_pylist()], bool)
+    if not m.langs:
+        return ["und"] * len(letters), np.zeros(len(letters)), np.zeros(len(letters))
+    bits = m.lengths(data, offsets)
+    least = bits.min(1)
+    score = 1 / np.exp2(-np.minimum(bits - least[:, None], 1000)).sum(1)
+    langs = [m.langs[k] if ok else "und" for k, ok in zip(bits.argmin(1), letters, strict=True)]
+    return langs, np.where(letters, score, 0.0), least / np.maximum(np.diff(offsets), 1)
+
+
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score and bits_per_byte of every row."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the byte classes, not by the data
+    shared = df.sparkSession.sparkContext.broadcast(model)  # (order + 1) strings of TRAIN_BYTES bytes a language at most, mostly a few MB
 
     def run(batches):
-        m = shared.value
         for b in batches:
-            for part in slices(b, "text"):
-                data, offsets = byte_view(part.column(1))
-                letters = np.array([bool(t and _LETTER.search(t)) for t in part.column(1).to_pylist()], bool)
-                if m.langs:
-                    bits = m.lengths(data, offsets)
-                    best = bits.argmin(1)
-                    least = bits.min(1)
-                    score = 1 / np.exp2(-np.minimum(bits - least[:, None], 1000)).sum(1)
-                else:
-                    best, least, score, letters = np.zeros(len(letters), int), np.zeros(len(letters)), np.zeros(len(letters)), letters & False
-                langs = [m.langs[k] if ok else "und" for k, ok in zip(best, letters, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(least / np.maximum(np.diff(offsets), 1))], ["doc_id", "lang_pred", "score", "bits_per_byte"])
+            for part in slices(b, "text", 1 << 20):
+                langs, score, bits = _predicted(shared.value, part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(score), pa.array(bits)], ["doc_id", "lang_pred", "score", "bits_per_byte"])
+        release()
 
     cols = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
-    return cols.mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
+    return texts_of(cols).mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
+
+
+def recognised(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns as they are, whose predicted language is one that was learned."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in batches:
+            for part in slices(b, text_col, 1 << 20):
+                langs, _, _ = _predicted(shared.value, part.column(text_col))
+                yield part.filter(pa.array([x != "und" for x in langs], pa.bool_()))
+        release()
+
+    return texts_of(df).mapInArrow(run, df.schema)
 
 
 def identify_held_out(df: DataFrame) -> DataFrame:
