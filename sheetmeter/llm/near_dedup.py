@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import byte_view, materialise, mix, release, remove_table, semi_join, slices
+from .common import byte_view, materialise, mix, release, remove_table, semi_join, slices, texts_of
 from .components import components
 
 CHUNKS, CHUNK, BITS = 14, 5, 16
@@ -167,7 +167,7 @@ def signatures(df: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(h1), pa.array(h2), pa.array(sig, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "n", "h1", "h2", "sig", "bits"])
         release()
 
-    return df.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sig binary, bits binary")
+    return texts_of(df).mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sig binary, bits binary")
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -226,7 +226,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int, blocks: int)
         for r, x in zip(s["rep"], s["items"], strict=True):
             of.setdefault(r, []).append(np.frombuffer(x, np.uint64))
         keep = [any(similar(x, y) for x in of[a] for y in of[b] if len(x) and len(y)) for a, b in zip(p["a"], p["b"], strict=True)]
-        return p.loc[keep, ["a", "b"]]
+        out = p.loc[keep, ["a", "b"]]
+        del of, s
+        release()
+        return out
 
     return p.groupBy("g").cogroup(need.groupBy("h")).applyInPandas(run, "a long, b long")
 
@@ -237,8 +240,9 @@ def _sets(df: DataFrame, words: int) -> DataFrame:
             for part in slices(b, "text", CUT):
                 sets = shingle_sets(*byte_view(part.column(1)), words)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "items"])
+        release()
 
-    return df.mapInArrow(run, "rep long, items binary")
+    return texts_of(df).mapInArrow(run, "rep long, items binary")
 
 
 def _across(rows: DataFrame, similarity: int) -> DataFrame:
@@ -294,6 +298,8 @@ def _across(rows: DataFrame, similarity: int) -> DataFrame:
                 held = held.slice(cut).combine_chunks()
         if held is not None:
             yield from pairs(held.combine_chunks())
+        held = None
+        release()
 
     return rows.repartition("key", "task").sortWithinPartitions("key", "task", "rep").select("key", "task", "slot", "side", "rep", "n", "label", "sig", "bits").mapInArrow(run, "a long, b long")
 
@@ -375,4 +381,4 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         remove_table(x)
     member = sigs.select("doc_id", "n", "h1", "h2").join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"], "left")
     member = member.join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    return member.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.coalesce("component", "rep")), F.col("doc_id")).alias("component_id"))
+    return member.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")), F.col("doc_id")).alias("component_id"))

@@ -9,7 +9,7 @@ holds at each position, so walking back from the end of a word gives its encodin
 outside the vocabulary become byte pieces. Runs of spaces, whose pieces merge after all others, are merged by themselves.
 
 Null and empty texts have no pieces and decode to empty text. Texts are encoded whole; a batch is worked off in slices
-of about 3 MB, and words in blocks of BLOCK bytes: a longer word runs through several blocks, so that no index grows with it.
+of about 1 MB, and words in blocks of BLOCK bytes: a longer word runs through several blocks, so that no index grows with it.
 Time grows in proportion to the text, also within one word. Equal rows get equal rows; ties do not occur, as exactly one edge holds. An empty
 table gives an empty table. A literal U+2581 is read as a space, as the model does; otherwise decoding
 gives the text back. Only the id and text columns are read, so other columns cannot clash.
@@ -24,13 +24,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import byte_view, release, slices
+from .common import byte_view, release, slices, texts_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words a task remembers before it learns them anew; bytes of words that are indexed at once; bytes from which a word is relaxed
 #: edge by edge, as few words are that long; slots of the table of known pairs (a power of two).
-MEMO_WORDS, BLOCK, LONG, SLOTS = 200_000, 1 << 17, 256, 1 << 20
+MEMO_WORDS, BLOCK, LONG, SLOTS = 50_000, 1 << 16, 256, 1 << 19
 
 
 def load(path: str = MODEL) -> list[tuple[str, float, int]]:
@@ -295,8 +295,6 @@ class Codec:
     def _one_by_one(self, begin, piece, size, last: np.ndarray, back: np.ndarray) -> None:
         """The same for long words, whose edges are sorted by their ends."""
         n, known = len(self.rows), {}
-        if self.whole_of is None:  # most texts hold no such word
-            self.whole_of = dict(zip(self.pairs.tolist(), self.whole.tolist(), strict=True))
         for s, p, w in zip(begin.tolist(), piece.tolist(), size.tolist(), strict=True):
             before = int(last[s])
             if before < -1:
@@ -313,6 +311,8 @@ class Codec:
         """_apart() for one pair."""
         n = len(self.rows)
         limit = n + 1
+        if self.whole_of is None:  # most texts hold no long word
+            self.whole_of = dict(zip(self.pairs.tolist(), self.whole.tolist(), strict=True))
         while True:
             whole = self.whole_of.get(a * n + b)
             if whole is not None and whole < limit:
@@ -422,7 +422,7 @@ def encode_documents(df: DataFrame, path: str = MODEL, id_col: str = "doc_id", t
             _codecs[name] = Codec(shared.value)
         codec = _codecs[name]
         for b in batches:
-            for part in slices(b, "text", 3 << 20):
+            for part in slices(b, "text", 1 << 20):
                 ids, edges = codec.encode(part.column(1))
                 data, at = codec.decode(ids, edges)
                 raw, offsets = byte_view(part.column(1))
@@ -441,4 +441,4 @@ def encode_documents(df: DataFrame, path: str = MODEL, id_col: str = "doc_id", t
         release()
 
     cols = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
-    return cols.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean" + ", text string" * with_text)
+    return texts_of(cols).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean" + ", text string" * with_text)

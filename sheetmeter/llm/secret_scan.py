@@ -8,7 +8,8 @@ slugs and dates do not, and a hex one needs a digit and a letter. An allow list
 extended over its candidate, up to an = that a value follows, so that no part of a key stays.
 
 Null text counts as empty; empty text has no span; very long texts are scanned whole, in linear time;
-repeated rows are scanned one by one. Only the id and text columns are read, so other columns cannot clash.
+repeated rows are scanned one by one; an empty table gives an empty table. Spans of equal start stand in the order of their kinds. Only the id and
+text columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import release, texts_of
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
@@ -138,7 +141,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return texts_of(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))).mapInArrow(run, SCHEMA)
 
 
 def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
@@ -168,5 +171,6 @@ def redact_documents(df: DataFrame, text_col: str = "text", length_col: str | No
                 old = arrays[k].to_pylist()
                 arrays[k] = pa.array([o if t is None else len(t) for t, o in zip(texts, old, strict=True)], b.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=b.schema)
+        release()
 
-    return df.mapInArrow(run, df.schema)
+    return texts_of(df).mapInArrow(run, df.schema)
