@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 #: Height of the cells in which rows and marks of one page meet.
 CELL = 32.0
+#: How tables meet by their cells: sorted. Either side grows with the input, and Parquet's size on disk says little of its rows, so none is broadcast.
+SORTED = "merge"
 
 
 def gap_rows(lines: DataFrame, keys: list[str], order: list[str], at: str, gap: float, end: float | None = None, stop: Column | None = None) -> DataFrame:
@@ -61,13 +63,19 @@ def group_lines(spans: DataFrame, tolerance: float = 0.6) -> DataFrame:
     return lists.select("drawing_id", "page", F.posexplode(fold).alias("line", "l")).select("drawing_id", "page", "line", F.col("l.cy").alias("y"), F.col("l.n").alias("spans"))
 
 
-def within_radius(a: DataFrame, b: DataFrame, keys: list[str], radius: float) -> DataFrame:
-    """Pairs of rows (id, x, y) of one key at most `radius` apart, through a grid of cells that wide: equality of cells, then the exact distance."""
+def _in_cells(a: DataFrame, b: DataFrame, keys: list[str], radius: float) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides of a join by cells as wide as the radius, the left one in the nine cells around each row, and the square of a pair's distance."""
     cell = lambda c: F.floor(F.col(c) / radius).cast("long")
     near = F.explode(F.array(*[F.struct((cell("x") + i).alias("i"), (cell("y") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")
     left = a.select(*keys, F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), near).select(*keys, "a", "ax", "ay", "c.i", "c.j")
     right = b.select(*keys, F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x").alias("i"), cell("y").alias("j"))
     d2 = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by"))
+    return left, right.hint(SORTED), d2
+
+
+def within_radius(a: DataFrame, b: DataFrame, keys: list[str], radius: float) -> DataFrame:
+    """Pairs of rows (id, x, y) of one key at most `radius` apart, through a grid of cells that wide: equality of cells, then the exact distance."""
+    left, right, d2 = _in_cells(a, b, keys, radius)
     return left.join(right, [*keys, "i", "j"]).where(d2 <= radius * radius).select(*keys, "a", "b", F.sqrt(d2).alias("distance"))
 
 
