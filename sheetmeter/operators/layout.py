@@ -80,9 +80,12 @@ def within_radius(a: DataFrame, b: DataFrame, keys: list[str], radius: float) ->
 
 
 def isolated(rows: DataFrame, keys: list[str], radius: float) -> DataFrame:
-    """Rows with no other row of their keys within the radius."""
-    pairs = within_radius(rows, rows, keys, radius).where("a <> b").select(*keys, F.col("a").alias("id")).distinct()
-    return rows.join(pairs, [*keys, "id"], "left_anti")
+    """Rows with no other row of their keys within the radius. In each cell the first neighbour settles a row, so pairs are not listed."""
+    left, right, d2 = _in_cells(rows, rows, keys, radius)
+    right = right.withColumnsRenamed({k: f"_{k}" for k in [*keys, "i", "j"]})
+    same = [F.col(k) == F.col(f"_{k}") for k in [*keys, "i", "j"]]
+    met = left.join(right, [*same, F.col("a") != F.col("b"), d2 <= radius * radius], "left_semi").select(*keys, F.col("a").alias("id")).distinct()
+    return rows.join(met.hint(SORTED), [*keys, "id"], "left_anti")
 
 
 def nearest(labels: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:

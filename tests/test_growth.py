@@ -34,3 +34,21 @@ def test_pairs_in_radius_without_broadcast(spark):
         got = [(r["a"], r["b"]) for r in layout.within_radius(df, df, ["page"], 30.0).where("a <> b").collect()]
     assert len(got) == len(set(got)) > 100
     assert set(got) == neighbours(rows)
+
+
+def test_isolated_without_broadcast(spark):
+    rows = points()
+    df = spark.createDataFrame(rows, "id long, page long, x double, y double")
+    with little_to_broadcast(spark):
+        got = [r["id"] for r in layout.isolated(df, ["page"], 30.0).collect()]
+    assert sorted(got) == sorted({r[0] for r in rows} - {a for a, _ in neighbours(rows)})
+    assert 0 < len(got) < len(rows)
+
+
+def test_isolated_lists_no_pairs(spark):
+    """Many rows of one place: the first neighbour settles each. Rows without a place or key have no neighbour."""
+    rows = [(i, 1, 5.0, 5.0) for i in range(2000)] + [(2000, 1, 500.0, 5.0), (2001, None, 5.0, 5.0), (2002, 1, None, 5.0)]
+    df = spark.createDataFrame(rows, "id long, page long, x double, y double")
+    found = layout.isolated(df, ["page"], 30.0)
+    assert sorted(r["id"] for r in found.collect()) == [2000, 2001, 2002]
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
