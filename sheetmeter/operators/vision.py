@@ -25,8 +25,8 @@ from sheetmeter.functions import geometry as g
 from sheetmeter.functions import text as t
 from sheetmeter.tables import written
 
+from . import layout, scoring, tags, tiles
 from . import legends as lg
-from . import scoring, tags, tiles
 
 
 class Client(Protocol):
@@ -265,8 +265,11 @@ def doubtful(detections: DataFrame, threshold: float = 0.75, factor: float = 6.0
     levels = a.select("_l").distinct()
     b = d.select(*keys, F.col("id").alias("other"), F.col("_cx").alias("_ox"), F.col("_cy").alias("_oy")).join(F.broadcast(levels), F.lit(True))  # a level is a power of two: a few dozen at most
     b = b.select(*keys, "other", "_ox", "_oy", "_l", F.floor(F.col("_ox") / side).alias("i"), F.floor(F.col("_oy") / side).alias("j"))
-    met = a.join(b, [*keys, "_l", "i", "j"]).where((F.col("other") != F.col("id")) & (F.hypot(F.col("_cx") - F.col("_ox"), F.col("_cy") - F.col("_oy")) < F.col("_r"))).select("id").distinct()
-    alone = pick.join(met, "id", "left_anti") if factor > 0 else pick.where("false")
+    meeting = [*keys, "_l", "i", "j"]
+    b = b.withColumnsRenamed({k: f"o_{k}" for k in meeting}).hint(layout.SORTED)
+    near = (F.col("other") != F.col("id")) & (F.hypot(F.col("_cx") - F.col("_ox"), F.col("_cy") - F.col("_oy")) < F.col("_r"))
+    met = a.join(b, [*[F.col(k) == F.col(f"o_{k}") for k in meeting], near], "left_semi").select("id").distinct()  # the first neighbour settles a detection
+    alone = pick.join(met.hint(layout.SORTED), "id", "left_anti") if factor > 0 else pick.where("false")
     return d.where((F.col("source") == "vision") & unsure).unionByName(alone).select(*detections.columns)
 
 

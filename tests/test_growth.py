@@ -1,8 +1,9 @@
 """Queries whose tables grow, on a driver that can broadcast little."""
 
 import contextlib
+import math
 
-from sheetmeter.operators import layout
+from sheetmeter.operators import layout, vision
 
 
 @contextlib.contextmanager
@@ -52,3 +53,30 @@ def test_isolated_lists_no_pairs(spark):
     found = layout.isolated(df, ["page"], 30.0)
     assert sorted(r["id"] for r in found.collect()) == [2000, 2001, 2002]
     assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+SIGHTING = "id long, drawing_id string, page int, x double, y double, w double, h double, confidence double, source string, needs_review boolean"
+
+
+def sightings(n: int = 600) -> list[tuple]:
+    return [(i, str(i % 3), 1, float(i * 37 % 997), float(i * 61 % 991), 6.0 + i % 5 * 9, 8.0, 0.5 if i % 9 == 0 else 0.9, "symbol" if i % 4 == 0 else "vision", i % 20 == 7) for i in range(n)]
+
+
+def doubted(rows) -> list[int]:
+    """Unsure, flagged or alone, by comparing all with all."""
+    middle = {r[0]: (r[3] + r[5] / 2, r[4] + r[6] / 2) for r in rows}
+    alone = lambda a: not any(a[0] != b[0] and a[1] == b[1] and math.dist(middle[a[0]], middle[b[0]]) < (a[5] + a[6]) / 2 * 6 for b in rows)
+    return [r[0] for r in rows if r[8] == "vision" and (r[7] < 0.75 or r[9] or alone(r))]
+
+
+def test_verify_batches_without_broadcast(spark):
+    rows = sightings()
+    df = spark.createDataFrame(rows, SIGHTING)
+    with little_to_broadcast(spark):
+        got = vision.batched(vision.doubtful(df)).collect()
+    want = {}
+    for drawing in "012":
+        for k, i in enumerate(i for i in doubted(rows) if str(i % 3) == drawing):
+            want[i] = (drawing, k // 12, k % 12 + 1)
+    assert {r["id"]: (r["drawing_id"], r["batch"], r["index"]) for r in got} == want
+    assert len(got) == len(want)
