@@ -80,3 +80,20 @@ def test_verify_batches_without_broadcast(spark):
             want[i] = (drawing, k // 12, k % 12 + 1)
     assert {r["id"]: (r["drawing_id"], r["batch"], r["index"]) for r in got} == want
     assert len(got) == len(want)
+
+
+def test_doubtful_without_broadcast(spark):
+    rows = sightings()
+    df = spark.createDataFrame(rows, SIGHTING)
+    with little_to_broadcast(spark):
+        got = sorted(r["id"] for r in vision.doubtful(df).collect())
+    assert got == doubted(rows)
+    assert len(got) > sum(r[8] == "vision" and (r[7] < 0.75 or r[9]) for r in rows)  # some are alone
+
+
+def test_doubtful_lists_no_pairs(spark):
+    """Many sightings of one place: the first neighbour settles each."""
+    rows = [(i, "d", 1, 5.0, 5.0, 8.0, 8.0, 0.9, "vision", False) for i in range(2000)] + [(2000, "d", 1, 500.0, 5.0, 8.0, 8.0, 0.9, "vision", False)]
+    found = vision.doubtful(spark.createDataFrame(rows, SIGHTING))
+    assert [r["id"] for r in found.collect()] == [2000]
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
