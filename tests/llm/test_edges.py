@@ -317,3 +317,33 @@ def test_stages_with_nulls_repeats_and_empty_tables(spark, tmp_path):
     assert p.encode(spark, d, "").where("round_trip").count() == len(rows)
     d.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert p.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize(("length", "core", "kinds"), [(400, 272, 40), (400, 399, 30), (60, 24, 300), (12, 8, 300)])
+def test_repeats_with_anchors_as_numbers(length, core, kinds, monkeypatch):
+    """Against all strings of the fragments; an anchor takes a symbol or two of the transform, or as many as the first level needs."""
+    rng = np.random.default_rng(length + core)
+    some = lambda n, a, z: rng.integers(a, z, n).astype(np.uint8).tobytes()
+    slack = length - core
+    anchors = [some(core, 65, 91) for _ in range(kinds)]
+    sides = [(some(slack, 97, 99), some(slack, 97, 99)) for _ in range(3)]
+    fragments, docs, los, at = [], [], [], []
+    for i in range(4 * kinds):
+        left, right = sides[rng.integers(3)]
+        flip = int(rng.integers(slack + 1))
+        right = right[:flip] + b"c" + right[flip + 1 :] if flip < slack else right
+        a, b = int(rng.integers(slack // 2, slack + 1)), int(rng.integers(slack - slack // 2, slack + 1))
+        fragments.append(left[slack - a :] + anchors[i % kinds] + right[:b])
+        docs.append(i // 2)
+        los.append(1000 * (i % 2) + 7)
+        at.append(a)
+    places = {}
+    for f, d, lo in zip(fragments, docs, los, strict=True):
+        for k in range(len(f) - length + 1):
+            places.setdefault(f[k : k + length], set()).add((d, lo + k))
+    want = {(d, x) for found in places.values() if len(found) > 1 for d, p in found for x in range(p, p + length)}
+    sorts, plain = [], substring_dedup.sorted_rotations
+    monkeypatch.setattr(substring_dedup, "sorted_rotations", lambda s, depth: sorts.append(len(s)) or plain(s, depth))
+    got = substring_dedup.repeats(fragments, *(np.array(x, np.int64) for x in (docs, los, at)), length, core)
+    assert {(d, x) for d, a, b in got for x in range(a, b)} == want and 0 < len(places) and 0 < len(want)
+    assert sum(sorts) <= sum(map(len, fragments)) + len(fragments) * (1 + max(2, 32 - slack) - core)
