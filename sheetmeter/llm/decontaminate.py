@@ -44,18 +44,33 @@ def words(text) -> F.Column:
     return F.array_remove(F.split(marked, BETWEEN), "")
 
 
+def _begins(x, first: str, last: str) -> F.Column:
+    """Whether x begins with one of the ASCII characters first to last. Bytes are compared, as F.ascii() makes two strings a call; words that
+    begin behind last, as most do where this is asked, fail the first comparison."""
+    return (x < chr(ord(last) + 1)) & (x >= first)
+
+
 def _digit(x) -> F.Column:
-    return F.ascii(x).between(48, 57)
+    return _begins(x, "0", "9")
+
+
+def _marked(x) -> F.Column:
+    return _begins(x, "^", "^")
 
 
 def template(x, before) -> F.Column:
     """The template word for a word and the word before it (null for none)."""
-    low, code = F.lower(x), F.ascii(x)
-    unit = F.coalesce(_digit(before), F.lit(False)) & low.isin(*UNITS)
+    return _template(x, _digit(before))
+
+
+def _template(x, counted) -> F.Column:
+    """The same, told whether the word before is a number."""
+    low = F.lower(x)
+    unit = F.coalesce(counted, F.lit(False)) & low.isin(*UNITS)
     name = (F.substring(x, 1, 1) != F.substring(low, 1, 1)) & (F.length(x) > 1) & (F.substring(x, 2, 1) == F.substring(low, 2, 1)) & ~_digit(F.substring(x, 2, 1))
     # the commonest cases come first: most words begin with a small letter
     small = F.when(unit, "<unit>").otherwise(low)
-    return F.when(code.between(97, 122), small).when(code == 94, F.ltrim(low, F.lit("^"))).when(code.between(48, 57), "<num>").when(unit, "<unit>").when(name, "<name>").otherwise(low)
+    return F.when(_begins(x, "a", "z"), small).when(_marked(x), F.ltrim(low, F.lit("^"))).when(_digit(x), "<num>").when(unit, "<unit>").when(name, "<name>").otherwise(low)
 
 
 def _templates(col: str) -> F.Column:
@@ -110,7 +125,7 @@ SCHEMA = "doc_id long, item_id long, first_word long, n_matched long, n_windows
 
 def _merged(df: DataFrame, text: str) -> DataFrame:
     """Adds the words w, the places idx in them where a merged word begins, and of each merged word its template t, the hash h
-    of that, the hash raw of the word itself, and whether it is a placeholder (p)."""
+    of that, and the hash raw of the word itself. Only t is made of strings anew; where it is not asked for, words are told apart by hash."""
     joined = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?<=\p{N})[.,](?=[0-9])", " ^")  # the words stay as many
     df = _once(df, "w", words(joined)).where(F.size("w") > 0)
 
@@ -118,15 +133,24 @@ def _merged(df: DataFrame, text: str) -> DataFrame:
         before = F.get(F.col("w"), i - 1)
         rest = F.ltrim(x, F.lit("^"))
         first = F.when(_digit(rest), "<more>").otherwise(template(rest, F.lit(None).cast("string")))
-        return F.when(F.ascii(x) == 94, first).otherwise(template(x, F.ltrim(before, F.lit("^"))))
+        return F.when(_marked(x), first).otherwise(_template(x, _digit(before) | _marked(before) & _digit(F.ltrim(before, F.lit("^")))))
 
-    df = _once(df, "all", F.transform("w", kind))
-    again = lambda i: (F.get("all", i) == "<more>") & (i > 0) | (F.get("all", i) == "<name>") & (F.coalesce(F.get("all", i - 1), F.lit("")) == "<name>") & (F.ascii(F.get("w", i)) != 94)
+    df = _once(df, "all", F.transform("w", lambda x, i: F.xxhash64(kind(x, i))))
+    more, name = _hashed("<more>"), _hashed("<name>")
+    again = lambda i: (F.get("all", i) == more) & (i > 0) | (F.get("all", i) == name) & (F.coalesce(F.get("all", i - 1), F.lit(0)) == name) & ~_marked(F.get("w", i))
     df = _once(df, "idx", F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: ~again(i)))
-    df = _once(df, "t", F.transform("idx", lambda i: F.get("all", i)))
-    df = _once(df, "p", F.transform("t", lambda x: x.isin(*PLACES).cast("int")))
-    df = _once(df, "h", F.transform("t", lambda x: F.xxhash64(x)))
-    return _once(df, "raw", F.transform("idx", lambda i, k: F.when(F.get("p", k) == 1, F.xxhash64(F.lower(_value(i, k)))).otherwise(F.get("h", k))))
+    df = _once(df, "h", F.transform("idx", lambda i: F.get("all", i)))
+    df = _once(df, "raw", F.transform("idx", lambda i, k: F.when(_place(F.get("h", k)), F.xxhash64(F.lower(_value(i, k)))).otherwise(F.get("h", k))))
+    return df.withColumn("t", F.transform("idx", lambda i: kind(F.get("w", i), i)))
+
+
+def _hashed(word: str) -> F.Column:
+    return F.xxhash64(F.lit(word))
+
+
+def _place(h) -> F.Column:
+    """Whether a hash is that of a placeholder."""
+    return h.isin(*map(_hashed, PLACES))
 
 
 def _value(i, k) -> F.Column:
@@ -137,7 +161,7 @@ def _value(i, k) -> F.Column:
 def _merged_windows(df: DataFrame, length: int) -> DataFrame:
     """Adds at and the key of each window: of its templates, or of its raw words if most are placeholders."""
     at = df.where(F.size("h") >= length).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("h") - length)))
-    places = sum((F.get("p", F.col("at") + j) for j in range(length)), F.lit(0))
+    places = sum((_place(F.get("h", F.col("at") + j)).cast("int") for j in range(length)), F.lit(0))
     key = lambda salt, col: F.xxhash64(F.lit(salt), *[F.get(col, F.col("at") + j) for j in range(length)])
     return at.withColumn("key", F.when(places * 2 <= length, key(length, "h")).otherwise(key(-length, "raw")))
 

@@ -347,3 +347,24 @@ def test_repeats_with_anchors_as_numbers(length, core, kinds, monkeypatch):
     got = substring_dedup.repeats(fragments, *(np.array(x, np.int64) for x in (docs, los, at)), length, core)
     assert {(d, x) for d, a, b in got for x in range(a, b)} == want and 0 < len(places) and 0 < len(want)
     assert sum(sorts) <= sum(map(len, fragments)) + len(fragments) * (1 + max(2, 32 - slack) - core)
+
+
+# ---- leaks
+
+def test_template_words_are_told_apart_by_bytes(spark):
+    words = ["", "^", "^5", "^Paris", "/", "0", "9x", ":", "Z", "[", "`", "a", "z", "{", "é", "É", "ß", "½", "kW", "Km", "Paris", "PARIS", "A1", "日本"]
+    rows = spark.createDataFrame([(x, b) for x in words for b in (None, "7", "/", ":", "x")], "x string, b string")
+    got = decontaminate.template(F.col("x"), F.col("b"))
+
+    def want(x, before):
+        low, units = x.lower(), decontaminate.UNITS
+        unit = before == "7" and low in units
+        if x[:1] == "^":
+            return low.lstrip("^")
+        if "0" <= x[:1] <= "9":
+            return "<num>"
+        return "<unit>" if unit else "<name>" if x in ("Km", "Paris") else low
+
+    assert all(r["t"] == want(r["x"], r["b"]) for r in rows.withColumn("t", got).collect())
+    plan = decontaminate._merged(rows.withColumnRenamed("x", "body"), "body").select("h", "raw")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ascii(" not in plan and plan.count("transform(") == 3  # a scan of documents asks for hashes only: of words, of merged words, of their values
