@@ -28,9 +28,9 @@ from .common import byte_view, release, slices, texts_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words a task remembers before it learns them anew; bytes of words that are indexed at once; bytes from which a word is relaxed
-#: edge by edge, as few words are that long; slots of the table of known pairs (a power of two).
-MEMO_WORDS, BLOCK, LONG, SLOTS = 50_000, 1 << 16, 256, 1 << 19
+#: Words a task remembers before it learns them anew, several times the different words of a slice (some 57,000); bytes of words that are
+#: indexed at once; bytes from which a word is relaxed edge by edge, as few words are that long; slots of the table of known pairs (a power of two).
+MEMO_WORDS, BLOCK, LONG, SLOTS = 200_000, 1 << 16, 256, 1 << 19
 
 
 def load(path: str = MODEL) -> list[tuple[str, float, int]]:

@@ -229,6 +229,14 @@ def test_long_words_over_several_blocks(monkeypatch):
         assert ids[at[i] : at[i + 1]].tolist() == lib.encode(t), i
 
 
+def test_words_of_earlier_slices_are_not_indexed_again(monkeypatch):
+    codec, asked = pieces.Codec(pieces.load()), []
+    monkeypatch.setattr(codec, "encode_words", lambda w, f=codec.encode_words: asked.append(len(w)) or f(w))
+    texts = pa.array([" ".join(f"w{i}" for i in range(60_000))])  # about as many different words as a slice of `documents` holds
+    one, two = codec.encode(texts), codec.encode(texts)
+    assert asked == [60_000] and all((x == y).all() for x, y in zip(one, two, strict=True))
+
+
 def test_valid_pairs_equal_merging():
     codec = pieces.Codec(pieces.load())
     rng = np.random.default_rng(4)
